@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, mixing, quality, sharding
+from . import chat, fingerprint, mixing, packing, quality, secrets, sharding
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op3_chat_formatting(spark, sf_dir):
     )
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,17 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op7_document_fingerprints, op8_source_mixing, op9_quality_rules, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_chat_formatting,
+        op4_packing,
+        op5_secret_scan,
+        op7_document_fingerprints,
+        op8_source_mixing,
+        op9_quality_rules,
+        op10_sharding,
+    )
+}
 
 ORACLE_SQL = {"op3_chat_formatting": chat.ORACLE_SQL, "op8_source_mixing": mixing.ORACLE_SQL}
