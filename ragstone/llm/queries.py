@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, mixing, packing, quality, secrets, sharding
+from . import chat, fingerprint, mixing, packing, quality, secrets, sharding, substring
 from .common import table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark, sf_dir):
     return chat.chat_report(
         table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.hard_conversation(spark))
@@ -39,6 +43,7 @@ def op10_sharding(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op3_chat_formatting,
         op4_packing,
         op5_secret_scan,
