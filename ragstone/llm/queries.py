@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, mixing, packing, quality, secrets, sharding, substring
+from . import chat, fingerprint, mixing, neardup, packing, quality, secrets, sharding, substring
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_document_fingerprints(spark, sf_dir):
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
         op3_chat_formatting,
         op4_packing,
         op5_secret_scan,
+        op6_near_duplicates,
         op7_document_fingerprints,
         op8_source_mixing,
         op9_quality_rules,
