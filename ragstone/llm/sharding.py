@@ -156,7 +156,7 @@ def shard_documents(docs: DataFrame, config: ShardConfig = ShardConfig()) -> Dat
     inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
     return (
         dealt.withColumn("within", F.row_number().over(inside) - 1)
-        .join(starts, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))
+        .join(starts, F.col("shard").eqNullSafe(F.col("s")) & F.col("part").eqNullSafe(F.col("p")))
         .select(
             "doc_id",
             "size",
