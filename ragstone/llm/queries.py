@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, mixing, neardup, packing, quality, secrets, sharding, substring
+from . import chat, fingerprint, mixing, neardup, packing, quality, secrets, sharding, substring, toxicity
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_substring_dedup(spark, sf_dir):
     return substring.substring_report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_formatting(spark, sf_dir):
     return chat.chat_report(
         table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.hard_conversation(spark))
@@ -48,6 +52,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_toxicity,
         op3_chat_formatting,
         op4_packing,
         op5_secret_scan,
