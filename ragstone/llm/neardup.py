@@ -13,9 +13,11 @@ into bands; those who share a band form a bucket. No bucket is expanded into its
 the member with most bucket-mates, and the others that aren't in the pivot's class yet are compared with it, exactly, by
 their shingle sets; links join classes; the pivot leaves the bucket; buckets of one class are done. What matters is
 which class a document is in, so comparisons inside a class are needless, and groups of copies of any size end after a
-round or two. From `split_after` rounds on, buckets over `small` members are split by a second band that members must
-share too (a pair of similarity 0.8 shares eight and a half of 26), and smaller ones compare all members that are still
-in different classes at once. The loop ends when no bucket holds two classes with members not compared; nothing is capped.
+round or two. After `pivot_rounds`, what is left are documents alike enough to meet but not to be linked. From then on a
+round compares up to `leaders` members of a bucket (all of a smaller one) with all others, in parts of bounded size: by
+one byte of each coordinate of their signatures first, and pairs that agree in no fewer than five standard deviations
+below the similarity by 32 bits of each shingle, in the first of the buckets that they share. The few that pass go on to
+the exact comparison. The loop ends when no bucket holds two classes with members not compared; nothing is capped.
 
 Edge cases: a null text is empty; texts without a word are one class; a text of fewer words than a shingle has one
 shingle, all its words; null ids are a document like any other; repeated rows are in one class; ties of doc_id are one
@@ -49,8 +51,10 @@ class NearConfig:
     rows: int = 5
     weights: str = "set"
     seed: int = 1
-    small: int = 24
-    split_after: int = 2
+    pivot_rounds: int = 2
+    leaders: int = 1024
+    #: Members of a bucket that are compared with its leaders in one part.
+    part: int = 4096
     #: Elements and darts that a worker holds at once, about; one long document may go beyond.
     most_at_once: int = 200_000
 
@@ -58,6 +62,12 @@ class NearConfig:
     def coordinates(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_equal(self) -> int:
+        """Equal coordinates that all but one in a million pairs of the least similarity have."""
+        k, s = self.coordinates, self.similarity
+        return int(k * s - 5 * (k * s * (1 - s)) ** 0.5)
+
 
 def shingles(text: str | None, memo: WordHashes, config: NearConfig) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of a text, ascending, and how often each occurs."""
@@ -68,9 +78,10 @@ def shingles(text: str | None, memo: WordHashes, config: NearConfig) -> tuple[np
     return np.unique(run_hashes(hashes, length, SHINGLE + length), return_counts=True)
 
 
-def _step(n: int) -> np.uint64:
-    """The n-th of a sequence of constants."""
-    return U(0x9E3779B97F4A7C15 * n & 0xFFFFFFFFFFFFFFFF)
+def _steps(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two constants for each of n arrivals from the first."""
+    at = np.arange(3 * first + 3, 3 * (first + n) + 3, 3, dtype=U)
+    return at * U(0x9E3779B97F4A7C15), (at + U(1)) * U(0x9E3779B97F4A7C15)
 
 
 def _uniform(keys: np.ndarray) -> np.ndarray:
@@ -92,17 +103,19 @@ def throw(
         key = mixed(elements[now] ^ U(xxhash.xxh64_intdigest(f"{seed}:{layer}".encode())))
         rank, there, m = np.zeros(len(now)), np.arange(len(now)), 0
         while len(there):
-            m += 1
-            draw = mixed(key[there] + _step(3 * m))
-            rank = rank - np.log(_uniform(draw)) / (high - low)
-            stays = rank <= limit[owner[now[there]]]
-            rank, there = rank[stays], there[stays]
-            dart = mixed(key[there] + _step(3 * m + 1))
-            at = low + (high - low) * (1.0 - _uniform(mixed(dart + U(1))))
-            hit = at < weights[now[there]]
-            hits.append(
-                (owner[now[there[hit]]], (dart[hit] % U(k)).astype(np.int64), rank[hit], mixed(dart[hit] + U(2)))
-            )
+            # The m-th arrival of each element depends on m alone; few elements left are taken many steps at once.
+            ahead = max(1, min(64, 16_384 // len(there)))
+            steps = _steps(m, ahead)
+            ranks = rank[:, None] - np.cumsum(np.log(_uniform(mixed(key[there][:, None] + steps[0]))), 1) / (high - low)
+            stays = ranks <= limit[owner[now[there]]][:, None]
+            dart = mixed((key[there][:, None] + steps[1])[stays])
+            which = there[np.nonzero(stays)[0]]
+            hit = np.ones(len(dart), bool)
+            if high > 1.0 or weights[now[which]].min(initial=1.0) < 1.0:
+                hit = low + (high - low) * (1.0 - _uniform(mixed(dart + U(1)))) < weights[now[which]]
+            hits.append((owner[now[which[hit]]], (dart[hit] % U(k)).astype(np.int64), ranks[stays][hit], mixed(dart[hit] + U(2))))
+            on = stays[:, -1]
+            rank, there, m = ranks[on, -1], there[on], m + ahead
         low, high, layer = high, 2.0 * high, layer + 1
         now = now[weights[now] > low]
     return tuple(np.concatenate(x) for x in zip(*hits)) if hits else tuple(np.empty(0, t) for t in (np.int64, np.int64, float, U))
@@ -123,27 +136,36 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], config: NearConfig) ->
         owner = np.repeat(open_, [len(sets[i][0]) for i in open_])
         weights = np.ones(len(elements)) if config.weights == "set" else counts.astype(np.float64)
         who, where, rank, dart = throw(elements, weights, owner, limits, k, config.seed)
-        order = np.lexsort((dart, rank, where, who))
-        first = order[np.flatnonzero(np.diff(np.concatenate([[-1], (who * k + where)[order]])))]
-        out[who[first], where[first]], best[who[first], where[first]] = dart[first], rank[first]
+        cell = who * k + where
+        np.minimum.at(best.reshape(-1), cell, rank)
+        first = rank == best.reshape(-1)[cell]
+        out.reshape(-1)[cell[first]] = dart[first]
         open_ = open_[~np.isfinite(best[open_]).all(1)]
         limits[open_] *= 2
     return out
 
 
 def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """id, digest (of the shingle set), bands (array of hashes, empty without shingles). docs: id, text."""
+    """id, digest (of the shingle set), bands (array of hashes, empty without shingles), sig (a byte a coordinate).
+
+    docs: id, text."""
 
     def signed_batch(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        rows = signatures(sets, config).reshape(len(sets), config.bands, config.rows)
+        darts = signatures(sets, config)
+        rows = darts.reshape(len(sets), config.bands, config.rows)
         bands = np.zeros((len(sets), config.bands), U)
         for r in range(config.rows):
             bands = mixed(bands * U(31) + rows[:, :, r])
         lists = [b if len(e) else b[:0] for b, (e, _) in zip(bands.view(np.int64), sets)]
         digests = [xxhash.xxh3_128_digest(e.tobytes()) for e, _ in sets]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-            names=["id", "digest", "bands"],
+            [
+                pa.array(ids, pa.int64()),
+                pa.array(digests, pa.binary()),
+                pa.array(lists, pa.list_(pa.int64())),
+                pa.array([x.tobytes() for x in darts.astype(np.uint8)], pa.binary()),
+            ],
+            names=["id", "digest", "bands", "sig"],
         )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +182,7 @@ def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
             if ids:
                 yield signed_batch(ids, sets)
 
-    return docs.select("id", "text").mapInArrow(sign, "id long, digest binary, bands array<long>")
+    return docs.select("id", "text").mapInArrow(sign, "id long, digest binary, bands array<long>, sig binary")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
@@ -218,9 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
-def _rounds(buckets: DataFrame, bands: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame | None:
-    """node, label for the documents that some link joins to another. buckets: key, id, band, mates, depth."""
-    columns = ["key", "id", "band", "mates", "depth"]
+def _rounds(buckets: DataFrame, sigs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame | None:
+    """node, label for the documents that some link joins to another. buckets: key, id, band, mates; sigs: id, sig, bands, shingles."""
+    columns = ["key", "id", "band", "mates"]
     labels, links, n = None, None, 0
     while True:
         n += 1
@@ -238,28 +260,15 @@ def _rounds(buckets: DataFrame, bands: DataFrame, texts: DataFrame, config: Near
             F.max_by(F.struct("id", "label"), F.struct("mates", -F.col("id"))).alias("pivot"),
         )
         alive = classed.join(state.filter("low < high").drop("low", "high"), "key")
-        if n > config.split_after:
-            large = alive.filter(F.col("members") > config.small)
-            pieces = (
-                large.filter("depth = 1")
-                .join(bands, "id")
-                .select("id", "mates", "key", "band", F.posexplode("bands").alias("other", "hash"))
-                .filter("other > band")
-                .withColumns({"key": F.xxhash64("key", "other", "hash"), "depth": F.lit(2)})
-            )
-            rest = alive.filter((F.col("members") <= config.small) | (F.col("depth") == 2))
-            at_once = rest.filter(F.col("members") <= config.small)
-            one, other = (
-                at_once.select("key", F.col("id").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"
-            )
-            pairs = one.join(other, "key").filter("label_a <> label_b and a < b").select("a", "b")
-            going = rest.filter(F.col("members") > config.small)
-            pairs = pairs.unionByName(_against_pivot(going))
-            left = _without_pivot(going).select(*columns).unionByName(pieces.select(*columns))
+        if n > config.pivot_rounds:
+            nth = F.pmod(F.xxhash64("key", "id", F.lit(n)), F.col("members"))
+            alive = alive.withColumn("leads", nth < config.leaders)
+            pairs = _against_leaders(alive.join(sigs, "id"), config)
+            left = alive.filter("not leads").select(*columns)
         else:
             pairs, left = _against_pivot(alive), _without_pivot(alive).select(*columns)
         pairs = staged(pairs.distinct(), "near-pairs")
-        if pairs.isEmpty() and (n <= config.split_after or left.isEmpty()):
+        if pairs.isEmpty() and (n <= config.pivot_rounds or left.isEmpty()):
             return labels
         found = staged(similar_pairs(pairs, texts, config), "near-links")
         links = found if links is None else links.unionByName(found)
@@ -272,6 +281,78 @@ def _against_pivot(alive: DataFrame) -> DataFrame:
     return alive.filter(F.col("label") != F.col("pivot.label")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
 
 
+def shingle_bytes(texts: DataFrame, config: NearConfig) -> DataFrame:
+    """id, shingles: 32 bits of each distinct shingle, ascending. texts: id, text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            sets = [np.unique(shingles(t, memo, config)[0].astype(np.uint32)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"]
+            )
+
+    return texts.select("id", "text").mapInArrow(find, "id long, shingles binary")
+
+
+def _against_leaders(alive: DataFrame, config: NearConfig) -> DataFrame:
+    """Pairs of a leader and a member of its bucket, of different classes, that are alike by 32 bits of each shingle.
+
+    A large bucket is dealt into parts that each get all its leaders; a worker holds the leaders of one part."""
+    parts = F.ceil(F.col("members") / config.part).cast("int")
+    columns = ["key", "part", "leads", "id", "label", "band", "sig", "bands", "shingles"]
+    members = alive.withColumns({"part": F.pmod(F.xxhash64("id"), parts).cast("int"), "leads": F.lit(False)})
+    leaders = alive.filter("leads").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = members.select(*columns).unionByName(leaders.select(*columns)).repartition("key", "part")
+    least, k = config.least_equal, config.coordinates
+
+    def alike(mine: bytes, yours: bytes) -> bool:
+        a, b = np.frombuffer(mine, np.uint32), np.frombuffer(yours, np.uint32)
+        if min(len(a), len(b)) < 0.99 * config.similarity * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        # A hundredth of slack for shingles that share their 32 bits.
+        return both >= 0.99 * config.similarity * (len(a) + len(b) - both)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lead_ids, lead_of = None, np.empty(0, np.int64), np.empty(0, np.int64)
+        lead_sigs, lead_bands, lead_sets = np.empty((0, k), np.uint8), np.empty((0, config.bands), np.int64), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, part, leads, who, of, band = (batch.column(c).to_numpy(zero_copy_only=False) for c in columns[:6])
+            sets = batch.column("shingles").to_pylist()
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, k)
+            bands = np.array(batch.column("bands").to_pylist(), np.int64)
+            edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
+            out: list[tuple[int, int]] = []
+            for start, end in zip([0, *edges], [*edges, len(key)]):
+                if group != (key[start], part[start]):
+                    group, lead_sets = (key[start], part[start]), []
+                    lead_ids, lead_of, lead_sigs, lead_bands = lead_ids[:0], lead_of[:0], lead_sigs[:0], lead_bands[:0]
+                head = start + int(leads[start:end].sum())
+                if head > start:
+                    lead_ids, lead_of = np.concatenate([lead_ids, who[start:head]]), np.concatenate([lead_of, of[start:head]])
+                    lead_sigs = np.concatenate([lead_sigs, sigs[start:head]])
+                    lead_bands = np.concatenate([lead_bands, bands[start:head]])
+                    lead_sets += sets[start:head]
+                step = max(1, 20_000_000 // (k * max(1, len(lead_ids))))
+                for i in range(head, end, step):
+                    j = min(end, i + step)
+                    near = (sigs[i:j, None, :] == lead_sigs[None, :, :]).sum(2) >= least
+                    member, leader = np.nonzero(near & (of[i:j, None] != lead_of[None, :]))
+                    before = band[start]
+                    earlier = (bands[i + member, :before] == lead_bands[leader, :before]).any(1)
+                    for m, x in zip((i + member)[~earlier], leader[~earlier]):
+                        if alike(sets[m], lead_sets[x]):
+                            out.append((int(min(who[m], lead_ids[x])), int(max(who[m], lead_ids[x]))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"]
+            )
+
+    return dealt.sortWithinPartitions("key", "part", F.desc("leads")).mapInArrow(compare, "a long, b long")
+
+
 def _without_pivot(alive: DataFrame) -> DataFrame:
     return alive.filter(F.col("id") != F.col("pivot.id"))
 
@@ -280,17 +361,17 @@ def near_classes(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFram
     """doc_id, class_id: one row per row of docs; class_id is the smallest doc_id of the class."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     sigs = staged(signed(keyed, config), "near-signatures")
-    sets = sigs.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    sets = sigs.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     banded = sets.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "hash")).select(
         F.xxhash64("band", "hash").alias("key"), "id", "band"
     )
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     joined = staged(banded.join(shared, "key"), "near-banded")
     mates = joined.groupBy("id").agg(F.sum("members").alias("mates"))
-    buckets = joined.join(mates, "id").select("key", "id", "band", "mates", F.lit(1).alias("depth"))
+    buckets = joined.join(mates, "id").select("key", "id", "band", "mates")
     texts = staged(keyed.join(mates.select("id"), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
-    bands = sets.select(F.col("rep").alias("id"), "bands")
-    labels = _rounds(staged(buckets, "near-buckets"), bands, texts, config)
+    compact = sets.select(F.col("rep").alias("id"), "sig", "bands").join(shingle_bytes(texts, config), "id")
+    labels = _rounds(staged(buckets, "near-buckets"), staged(compact, "near-bytes"), texts, config)
     members = sigs.select("id", "digest").join(sets.select("digest", "rep"), "digest")
     if labels is not None:
         members = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("label", "rep"))
