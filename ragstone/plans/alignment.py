@@ -168,10 +168,10 @@ def label_monotonicity_violations(spark, sf_dir):
 
 CLAIMS = r"""lines AS (
   SELECT response_id, response, unnest(string_split(response, chr(10))) AS line, generate_subscripts(string_split(response, chr(10)), 1) AS ln FROM responses),
-placed AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY response_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM lines),
+placed AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY response_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos0 FROM lines),
 cut AS (SELECT *, string_split(regexp_replace(line, '([.!?])(\s+)([A-Z0-9(<\[])', '\1' || chr(1) || '\2\3', 'g'), chr(1)) AS parts FROM placed),
-part AS (SELECT response_id, response, ln, at, unnest(parts) AS p, generate_subscripts(parts, 1) AS pn FROM cut),
-off AS (SELECT *, at + CAST(coalesce(sum(length(p)) OVER (PARTITION BY response_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM part),
+part AS (SELECT response_id, response, ln, pos0, unnest(parts) AS p, generate_subscripts(parts, 1) AS pn FROM cut),
+off AS (SELECT *, pos0 + CAST(coalesce(sum(length(p)) OVER (PARTITION BY response_id, ln ORDER BY pn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM part),
 lead_ AS (SELECT *, greatest(length(regexp_extract(p, '^\s*(?:[-*•]+|\(?\d+[.)]|[A-Za-z][.)])\s+')), length(regexp_extract(p, '^\s+'))) AS l FROM off),
 body AS (SELECT *, regexp_replace(substr(p, l + 1), '\s+$', '') AS t FROM lead_),
 claims AS (SELECT response_id, CAST(row_number() OVER (PARTITION BY response_id ORDER BY ln, pn) AS INTEGER) AS claim_index, CAST(o + l AS INTEGER) AS s, CAST(o + l + length(t) AS INTEGER) AS e, t
