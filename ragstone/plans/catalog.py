@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, grounding, metrics, policy, retrieval, statistics  # noqa: F401
+from . import alignment, features, grounding, metrics, policy, retrieval, statistics  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
