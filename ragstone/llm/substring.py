@@ -7,14 +7,16 @@ winnowed anchors, then matches are extended and merged:
     smallest hash is the window's anchor. Equal windows have equal anchors at equal places, so a window can only repeat
     if its anchor occurs in two documents. About one word in five starts an anchor.
  2. Join. Anchors of all documents meet by hash; those that two documents share stay, as a list per document.
- 3. Extend. In a document, each window around a shared anchor is hashed (64 bits as the key, 32 more as a check); windows
-    meet by hash, and those of documents other than the smallest are repeats.
+ 3. Extend. The windows of a document that share an anchor follow each other; a shared anchor is sent with 32 bits of
+    hash for each of them (64 of the seed and 32 of the window, mixed with its place around the seed, make 96 to rely
+    on). Where anchors meet again, equal windows of documents other than the smallest are repeats.
  4. Maximal repeats. Per document, overlapping and touching repeats are merged into spans, and their words removed.
 
 Skew: an anchor or window may occur in every document. `hot_share` of a bounded sample of documents tells which anchors
 and windows are that common (at most sample_docs * words / (hot_share * sample_docs) of them). Hot anchors are known to
-be shared and are not joined at all. For hot windows the smallest doc_id is found by an aggregation that combines before
-it shuffles and has one row per hot window; their repeats are then known where they stand. The sample only decides which
+be shared and are not joined at all; windows around them meet by their own hash instead. For hot windows the smallest
+doc_id is found by an aggregation that combines before it shuffles and has one row per hot window; their repeats are
+then known where they stand. The sample only decides which
 way a window takes, never the result. Groups of other keys are small; no pairs of documents are formed anywhere.
 
 Texts are shuffled once, by doc_id, and that exchange serves both steps that need them.
@@ -132,45 +134,113 @@ def hot_keys(docs: DataFrame, config: SubstringConfig) -> tuple[np.ndarray, np.n
 
 
 def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, windows: np.ndarray, least: np.ndarray) -> DataFrame:
-    """(w, x, doc_id, sure): the windows around shared anchors; x holds the check and the position.
+    """(k, doc_id, at, ws): runs of windows around shared anchors.
 
-    `sure` rows are repeats already (hot windows of documents other than the smallest); their w only spreads them."""
+    k is where they meet: the anchor's hash, or the window's own around a hot anchor. The low half of `at` is where the
+    run starts, the high half marks the windows that are repeats already (hot ones of documents other than the
+    smallest); ws has four bytes for each window that isn't decided."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            keys, ids, at_, sizes, bodies = [], [], [], [], []
+
+            def add(k: np.ndarray, doc: int, at: np.ndarray, size: np.ndarray, body: np.ndarray) -> None:
+                for column, values in zip((keys, ids, at_, sizes, bodies), (k, np.full(len(k), doc, np.int64), at, size, body)):
+                    column.append(values)
+
             for doc, text, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shared"))):
                 if shared is None and not len(hot):
                     continue
                 hashes, seeds, at = _hashed(text, memo, config)
-                known = np.array(shared or [], np.int64)
-                near = np.isin(seeds[at], np.concatenate([known, hot]) if len(hot) else known)
-                where = np.flatnonzero(near)
-                if not len(where):
+                if not len(at):
                     continue
-                keys = run_hashes(hashes, config.length, KEY).view(np.int64)[where]
-                sure = np.zeros(len(where), bool)
+                starts = np.flatnonzero(np.diff(np.concatenate([[-1], at])))
+                ends = np.concatenate([starts[1:], [len(at)]])
+                seed = seeds[at[starts]]
+                check = run_hashes(hashes, config.length, CHECK) ^ (at - np.arange(len(at))).astype(np.uint64)
+                small = (check >> np.uint64(32)).astype(np.uint32)
+                if shared is not None:
+                    own = np.isin(seed, np.array(shared, np.int64))
+                    if own.any():
+                        inside = np.repeat(own, ends - starts)
+                        add(seed[own], doc, starts[own], (ends - starts)[own], small[inside])
+                warm = np.isin(seed, hot) if len(hot) else np.zeros(len(seed), bool)
+                if not warm.any():
+                    continue
+                where = np.flatnonzero(np.repeat(warm, ends - starts))
+                key = run_hashes(hashes, config.length, KEY).view(np.int64)[where]
+                common, sure = np.zeros(len(where), bool), np.zeros(len(where), bool)
                 if len(windows):
-                    place = np.minimum(np.searchsorted(windows, keys), len(windows) - 1)
-                    common = windows[place] == keys
+                    place = np.minimum(np.searchsorted(windows, key), len(windows) - 1)
+                    common = windows[place] == key
                     sure = common & (least[place] < doc)
-                    # A hot window of its smallest document is no repeat, and nothing needs it as a source.
-                    stays = ~common | sure
-                    where, keys, sure = where[stays], keys[stays], sure[stays]
-                check = run_hashes(hashes, config.length, CHECK)[where] >> np.uint64(32)
-                x = ((check << np.uint64(32)) | where.astype(np.uint64)).view(np.int64)
-                spread = np.where(sure, x ^ np.int64(doc) * np.int64(0x9E3779B1), keys)
-                for column, values in zip(out, (spread, x, np.full(len(where), doc, np.int64), sure)):
-                    column.append(values)
-            kinds = ("int64", "int64", "int64", "bool")
-            yield _emit(list(zip(out, kinds)), ["w", "x", "doc_id", "sure"])
+                one = where[~common]
+                add(key[~common], doc, one, np.ones(len(one), np.int64), small[one])
+                known = where[sure]
+                if len(known):
+                    # Up to 32 windows a row; a key of their own spreads them.
+                    firsts = known[np.concatenate([[True], known[1:] // 32 != known[:-1] // 32])] // 32 * 32
+                    marks = np.zeros(len(firsts), np.uint64)
+                    np.bitwise_or.at(marks, np.searchsorted(firsts, known // 32 * 32), np.uint64(1) << (known % 32).astype(np.uint64))
+                    at_row = ((marks << np.uint64(32)) | firsts.astype(np.uint64)).view(np.int64)
+                    spread = at_row ^ np.int64(doc * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF)
+                    add(spread, doc, at_row, np.zeros(len(firsts), np.int64), np.empty(0, np.uint32))
+            size = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
+            body = np.concatenate(bodies) if bodies else np.empty(0, np.uint32)
+            offsets = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+            fixed = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (keys, ids, at_)]
+            yield pa.RecordBatch.from_arrays([*fixed, blobs], names=["k", "doc_id", "at", "ws"])
+
+    return matched.mapInArrow(find, "k long, doc_id long, at long, ws binary")
+
+
+def _repeats(runs: DataFrame) -> DataFrame:
+    """(doc_id, at): runs with a mark for each repeat in the high half of `at`; runs are dealt and sorted by k.
+
+    A worker holds the rows of a batch and of the key that the batch breaks off in."""
+
+    def decide(table: pa.Table) -> pa.RecordBatch:
+        k, doc, at = (table.column(c).to_numpy() for c in ("k", "doc_id", "at"))
+        blobs = table.column("ws").combine_chunks()
+        blobs = blobs if isinstance(blobs, pa.Array) else blobs.chunk(0)
+        offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+        body = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
+        size = np.diff(offsets) // 4
+        row = np.repeat(np.arange(len(k)), size)
+        marks = (at >> 32) & 0xFFFFFFFF
+        if len(row):
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.lexsort((body, k[row]))
+            new = np.concatenate([[True], (np.diff(k[row][order]) != 0) | (np.diff(body[order].astype(np.int64)) != 0)])
+            least = np.minimum.reduceat(doc[row][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            hit = order[doc[row][order] > least]
+            np.bitwise_or.at(marks, row[hit], np.int64(1) << nth[hit])
+        there = marks != 0
+        starts = (marks[there] << 32) | (at[there] & 0xFFFFFFFF)
+        return pa.RecordBatch.from_arrays([pa.array(doc[there]), pa.array(starts)], names=["doc_id", "at"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column("k").to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut == 0 and (not held or held[-1].column("k")[-1].as_py() == k[-1]):
+                held.append(batch)
+                continue
+            yield decide(pa.Table.from_batches([*held, batch.slice(0, cut)]) if cut else pa.Table.from_batches(held))
+            held = [batch.slice(cut)]
+        if held:
+            yield decide(pa.Table.from_batches(held))
 
-    return matched.mapInArrow(find, "w long, x long, doc_id long, sure boolean")
+    return runs.mapInArrow(find, "doc_id long, at long")
 
 
 def repeated_windows(docs: DataFrame, texts: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
-    """doc_id, starts: where the repeats of a document start. docs and texts: (doc_id, text), texts dealt by doc_id."""
+    """doc_id, runs: where the repeats of a document start. docs and texts: (doc_id, text), texts dealt by doc_id."""
     hot, windows = hot_keys(docs, config)
     least = np.empty(0, np.int64)
     if len(windows):
@@ -185,14 +255,16 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, config: SubstringConfig
         .groupBy("doc_id")
         .agg(F.collect_list("h").alias("shared"))
     )
-    same = Window.partitionBy("w", F.shiftrightunsigned("x", 32))
-    return (
-        _extended(texts.join(shared, "doc_id", "left"), config, hot, windows, least)
-        .withColumn("least", F.min("doc_id").over(same))
-        .filter(F.col("sure") | (F.col("least") < F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("starts"))
-    )
+    runs = _extended(texts.join(shared, "doc_id", "left"), config, hot, windows, least)
+    return _repeats(runs.repartition("k").sortWithinPartitions("k")).groupBy("doc_id").agg(F.collect_list("at").alias("runs"))
+
+
+def starts_of(runs: list[int] | None) -> np.ndarray:
+    """The words at which repeats start, ascending, from runs with marks."""
+    at = np.array(runs or [], np.int64)
+    bits = ((at >> 32)[:, None] >> np.arange(32)) & 1
+    row, bit = np.nonzero(bits)
+    return np.unique((at & 0xFFFFFFFF)[row] + bit)
 
 
 def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -206,7 +278,9 @@ def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def dedup_substrings(docs: DataFrame, config: SubstringConfig = SubstringConfig()) -> DataFrame:
     """doc_id, n_words, spans (array of start and end in words), kept_text: the words kept, joined by one space."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", "text")
+    if dict(docs.dtypes)["doc_id"] != "bigint":  # an alias would keep the two readers of the exchange from sharing it
+        rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
     known = rows.filter("doc_id is not null")
     texts = known.repartition("doc_id")
     found = texts.join(repeated_windows(known, texts, config), "doc_id", "left")
@@ -214,9 +288,9 @@ def dedup_substrings(docs: DataFrame, config: SubstringConfig = SubstringConfig(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
                 words = split_words(text)
-                own = spans_of(np.sort(np.array(starts or [], np.int64)), config.length)
+                own = spans_of(starts_of(runs), config.length)
                 left, at = [], 0
                 for a, b in own:
                     left += words[at:a]
@@ -232,7 +306,7 @@ def dedup_substrings(docs: DataFrame, config: SubstringConfig = SubstringConfig(
             )
 
     schema = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept_text string"
-    unknown = rows.filter("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
+    unknown = rows.filter("doc_id is null").withColumn("runs", F.lit(None).cast("array<bigint>"))
     return found.unionByName(unknown).mapInArrow(cut, schema)
 
 
