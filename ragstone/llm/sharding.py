@@ -31,8 +31,8 @@ from .common import count_at_most, let, longs, text_of
 class ShardConfig:
     shards: int = 24
     overhead: int = 8
-    #: At most 2 ** 18 atoms: 2 MB of prefix sums.
-    order_bits: int = 18
+    #: At most 2 ** 14 atoms, each under a hundredth of a per cent of a large corpus.
+    order_bits: int = 14
     slot_parts: int = 1024
 
 
