@@ -32,7 +32,7 @@ LEAST_ID = -(1 << 63)
 class SketchConfig:
     shingle_words: int = 5
     scale: int = 8
-    bucket_rows: int = 4096
+    bucket_rows: int = 1024
     max_buckets: int = 100_000
 
 
