@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, features, governance, grounding, metrics, policy, retrieval, statistics  # noqa: F401
+from . import alignment, features, governance, grounding, learning, metrics, policy, reports, retrieval, statistics  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
