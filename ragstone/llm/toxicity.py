@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms of a text are its words in lower case and their first four to seven letters (which carry over to forms not seen
-in training), hashed to `buckets` numbers. Training sees at most about `train_docs` labelled documents, a bounded sample by
+Terms of a text are its words in lower case (runs of letters) and their first four to seven bytes, which carry over to
+forms not seen in training, hashed to `buckets` numbers. Training sees at most about `train_docs` labelled documents, a bounded sample by
 a hash of the id. Of their terms the `features` most telling ones stay, by the two-sided z-score of a term's share among
 toxic and other documents. The machine scores w0 + sum w_i + sum over pairs <v_i, v_j>: a pair of terms may weigh more or
 less than its parts, such as an insult next to the mention of a group. It is fitted by Adam on the log loss with L2.
@@ -16,17 +16,22 @@ columns aren't read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TERM = re.compile(r"[^\W\d_]+")
+from .common import staged
+from .words import U, hash_sums, piece_hashes, runs_of
+
+PREFIXES = (4, 5, 6, 7)
+SLICE = 1 << 20
+#: ASCII letters and all bytes of longer characters.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 @dataclass(frozen=True)
@@ -38,31 +43,33 @@ class ToxicityConfig:
     least_documents: int = 5
     least_z: float = 3.5
     factors: int = 8
-    epochs: int = 150
+    epochs: int = 120
     rate: float = 0.05
     l2: float = 1e-4
     seed: int = 7
     no_label: float = 0.05
 
 
-class TermHashes(dict):
-    """Word -> its terms' numbers; forgets all when it holds `most` words."""
-
-    def __init__(self, buckets: int, most: int = 100_000):
-        super().__init__()
-        self.buckets, self.most = buckets, most
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        terms = [f"w{word}", *(f"{n}{word[:n]}" for n in range(4, min(7, len(word)) + 1))]
-        found = self[word] = tuple(xxhash.xxh64_intdigest(t) % self.buckets for t in terms)
-        return found
-
-    def of(self, text: str | None) -> np.ndarray:
-        """The distinct terms of a text, ascending."""
-        words = set(TERM.findall((text or "").lower()))
-        return np.unique(np.fromiter((t for w in words for t in self[w]), np.int64))
+def text_terms(text: str | None, buckets: int, keep: np.ndarray | None = None) -> np.ndarray:
+    """The distinct terms of a text, ascending; with keep (a flag per bucket), only those it has.
+
+    All words and prefixes of a text are hashed at once; a text beyond a slice is cut between words."""
+    data = (text or "").lower().encode("utf-8", "surrogatepass")
+    found, start = [np.empty(0, np.int64)], 0
+    while start < len(data):
+        end = min(len(data), start + SLICE)
+        while end < len(data) and LETTER[data[end]]:
+            end += 1
+        raw = np.frombuffer(data, np.uint8, end - start, start)
+        starts, ends = runs_of(raw, LETTER)
+        sums = hash_sums(raw)
+        for n in (0, *PREFIXES):
+            fits = slice(None) if not n else ends - starts >= n
+            s = starts[fits]
+            terms = ((piece_hashes(sums, s, s + n if n else ends) ^ U(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % U(buckets)).astype(np.int64)
+            found.append(terms if keep is None else terms[keep[terms]])
+        start = end
+    return np.unique(np.concatenate(found))
 
 
 @dataclass(frozen=True)
@@ -73,8 +80,8 @@ class Model:
     factors: np.ndarray
 
     def score(self, terms: np.ndarray) -> float:
+        """The probability for a text with these terms, all of which the model has."""
         at = np.searchsorted(self.terms, terms)
-        at = at[(at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms)] if len(self.terms) else at[:0]
         v = self.factors[at]
         margin = self.bias + self.weights[at].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum()
         return float(1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))))
@@ -84,8 +91,10 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n: int, config: ToxicityConfig) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, weights, factors) from rows of feature numbers in [0, n)."""
+def fit_machine(
+    rows: list[np.ndarray], labels: np.ndarray, times: np.ndarray, n: int, config: ToxicityConfig
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, weights, factors) from rows of feature numbers in [0, n), each of which counts `times`."""
     at = np.concatenate([np.append(r, n) for r in rows]).astype(np.int64)  # n: a feature of weight 0, so no row is empty
     sizes = np.array([len(r) + 1 for r in rows])
     starts, owner = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(rows)), sizes)
@@ -93,7 +102,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n: int, config: Toxi
     heads = np.flatnonzero(np.diff(np.concatenate([[-1], at[order]])))
     there = at[order][heads]
     rng = np.random.default_rng(config.seed)
-    share = labels.mean()
+    share = (labels * times).sum() / times.sum()
     params = [
         np.array([np.log(share / (1 - share))]),
         np.zeros(n + 1),
@@ -105,7 +114,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n: int, config: Toxi
         v = params[2][at]
         sums = np.add.reduceat(v, starts)
         margin = params[0][0] + np.add.reduceat(params[1][at], starts) + 0.5 * (sums**2 - np.add.reduceat(v**2, starts)).sum(1)
-        slope = (1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - labels) / len(rows)
+        slope = (1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - labels) * times / times.sum()
         each = slope[owner]
         by_weight, by_factor = np.zeros(n + 1), np.zeros_like(params[2])
         by_weight[there] = np.add.reduceat(each[order], heads)
@@ -121,20 +130,44 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, n: int, config: Toxi
     return float(params[0][0]), params[1][:n], params[2][:n]
 
 
-def _term_rows(docs: DataFrame, config: ToxicityConfig, keep: np.ndarray | None = None) -> DataFrame:
-    """label, terms for docs (text, label); with keep, positions in it."""
+def _term_counts(docs: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """term, toxic, all: documents with the term, from docs (text, label); term -1 is in all. Counted by batch first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.zeros((2, config.buckets + 1), np.int64)
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                terms = text_terms(text, config.buckets)
+                both[1, terms] += 1
+                both[1, -1] += 1
+                if label:
+                    both[0, terms] += 1
+                    both[0, -1] += 1
+            seen = np.flatnonzero(both[1])
+            names = np.where(seen == config.buckets, -1, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(both[0, seen]), pa.array(both[1, seen])], names=["term", "toxic", "all"])
+
+    counted = docs.select("text", "label").mapInArrow(count, "term long, toxic long, all long")
+    return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("all").alias("all"))
+
+
+def _kept_terms(docs: DataFrame, config: ToxicityConfig, keep: np.ndarray) -> DataFrame:
+    """label, terms (positions in keep), times: documents with equal labels and terms are one row."""
+    flags = _flags(keep, config.buckets)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = TermHashes(config.buckets)
         for batch in batches:
-            rows = [memo.of(t) for t in batch.column("text").to_pylist()]
-            if keep is not None:
-                rows = [np.searchsorted(keep, r[np.isin(r, keep)]) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(rows, pa.list_(pa.int64()))], names=["label", "terms"]
-            )
+            rows = [np.searchsorted(keep, text_terms(t, config.buckets, flags)).astype(np.int32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], names=["label", "terms"])
+
+    found = docs.select("text", "label").mapInArrow(find, "label int, terms array<int>")
+    return found.groupBy("label", "terms").agg(F.count(F.lit(1)).alias("times"))
 
-    return docs.select("text", "label").mapInArrow(find, "label int, terms array<long>")
+
+def _flags(terms: np.ndarray, buckets: int) -> np.ndarray:
+    flags = np.zeros(buckets, bool)
+    flags[terms] = True
+    return flags
 
 
 def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Model | None:
@@ -146,13 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
         F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(every)) < min(every, every * config.train_docs // max(1, n))
     ).select("doc_id", F.col("toxic").cast("int").alias("label"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    counts = (
-        _term_rows(sample, config)
-        .select("label", F.explode(F.concat("terms", F.array(F.lit(-1).cast("long")))).alias("term"))
-        .groupBy("term")
-        .agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("all"))
-        .filter((F.col("all") >= config.least_documents) | (F.col("term") == -1))
-    )
+    counted = _term_counts(sample, config).filter((F.col("all") >= config.least_documents) | (F.col("term") == -1))
+    counts = staged(counted, "toxicity-counts")
     total = counts.filter("term = -1").first()
     if total is None or total["toxic"] in (0, total["all"]):
         return None
@@ -164,11 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     keep = np.sort(
         np.array([r["term"] for r in telling.orderBy(F.desc("z"), "term").limit(config.features).collect()], np.int64)
     )
-    # At most about train_docs short lists of positions come to the driver.
-    got = _term_rows(sample, config, keep).toArrow()
+    # At most about train_docs short lists of positions come to the driver, in an order that reruns agree on.
+    got = _kept_terms(sample, config, keep).orderBy("label", "terms").toArrow()
     rows = [np.array(r, np.int64) for r in got.column("terms").to_pylist()]
-    labelled = np.array(got.column("label").to_pylist(), np.float64)
-    bias, weights, factors = fit_machine(rows, labelled, len(keep), config)
+    labelled, times = (np.array(got.column(c).to_pylist(), np.float64) for c in ("label", "times"))
+    bias, weights, factors = fit_machine(rows, labelled, times, len(keep), config)
     return Model(keep, bias, weights, factors)
 
 
@@ -179,11 +207,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, config: ToxicityConfig =
     if model is None:
         scored = rows.select("doc_id", F.lit(config.no_label).alias("score"))
     else:
+        flags = _flags(model.terms, config.buckets)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = TermHashes(config.buckets)
             for batch in batches:
-                scores = [model.score(memo.of(t)) for t in batch.column("text").to_pylist()]
+                scores = [model.score(text_terms(t, config.buckets, flags)) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"]
                 )
