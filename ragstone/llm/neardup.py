@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .words import U, WordHashes, mixed, run_hashes, split_words
+from .words import U, mixed, run_hashes, word_hashes
 
 SHINGLE = 7
 #: Spark's `id` of a document whose doc_id is null.
@@ -69,9 +69,9 @@ class NearConfig:
         return int(k * s - 5 * (k * s * (1 - s)) ** 0.5)
 
 
-def shingles(text: str | None, memo: WordHashes, config: NearConfig) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str | None, config: NearConfig) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of a text, ascending, and how often each occurs."""
-    hashes = memo.of(split_words(text))
+    hashes = word_hashes(text)
     length = min(config.shingle_words, len(hashes))
     if not length:
         return np.empty(0, U), np.empty(0, np.int64)
@@ -169,12 +169,11 @@ def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
         )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             ids, sets, size = [], [], 0
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 ids.append(i)
-                sets.append(shingles(text, memo, config))
+                sets.append(shingles(text, config))
                 size += len(sets[-1][0]) + 1000
                 if size > config.most_at_once:
                     yield signed_batch(ids, sets)
@@ -189,14 +188,13 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> Dat
     """The pairs (a, b) whose shingle sets have at least the similarity; texts: id, text."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         last, mine = None, np.empty(0, U)
         for batch in batches:
             keep = []
             for i, (a, one, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")))):
                 if last is None or last != a:
-                    last, mine = a, shingles(one, memo, config)[0]
-                yours = shingles(other, memo, config)[0]
+                    last, mine = a, shingles(one, config)[0]
+                yours = shingles(other, config)[0]
                 if min(len(mine), len(yours)) < config.similarity * max(len(mine), len(yours)):
                     continue
                 both = len(np.intersect1d(mine, yours, assume_unique=True))
@@ -285,9 +283,8 @@ def shingle_bytes(texts: DataFrame, config: NearConfig) -> DataFrame:
     """id, shingles: 32 bits of each distinct shingle, ascending. texts: id, text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
-            sets = [np.unique(shingles(t, memo, config)[0].astype(np.uint32)) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(shingles(t, config)[0].astype(np.uint32)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"]
             )

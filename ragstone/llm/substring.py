@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import WordHashes, anchors, run_hashes, split_words
+from .words import among, anchors, run_hashes, split_words, word_hashes
 
 SEED, KEY, CHECK = 1, 2, 3
 
@@ -55,9 +55,9 @@ class SubstringConfig:
         return self.length - self.seed_words + 1
 
 
-def _hashed(text: str | None, memo: WordHashes, config: SubstringConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(text: str | None, config: SubstringConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, seed hashes (as signed numbers), and the anchor's position for each window."""
-    hashes = memo.of(split_words(text))
+    hashes = word_hashes(text)
     seeds = run_hashes(hashes, config.seed_words, SEED)
     return hashes, seeds.view(np.int64), anchors(seeds, config.span)
 
@@ -71,14 +71,13 @@ def _anchor_rows(docs: DataFrame, config: SubstringConfig, hot: np.ndarray | Non
     """(doc_id, h), each anchor once per document; hot ones left out."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             found, ids = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                _, seeds, at = _hashed(text, memo, config)
+                _, seeds, at = _hashed(text, config)
                 own = np.unique(seeds[np.unique(at)])
                 if hot is not None and len(hot):
-                    own = own[~np.isin(own, hot)]
+                    own = own[~among(own, hot)]
                 found.append(own)
                 ids.append(np.full(len(own), doc, np.int64))
             yield _emit([(ids, "int64"), (found, "int64")], ["doc_id", "h"])
@@ -90,11 +89,10 @@ def _window_minima(docs: DataFrame, config: SubstringConfig, hot: np.ndarray) ->
     """(w, doc_id): for each hot window, the smallest doc_id of each batch that has it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             least = np.full(len(hot), np.iinfo(np.int64).max)
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                keys = run_hashes(memo.of(split_words(text)), config.length, KEY).view(np.int64)
+                keys = run_hashes(word_hashes(text), config.length, KEY).view(np.int64)
                 at = np.searchsorted(hot, keys)
                 at = at[(at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == keys)]
                 least[at] = np.minimum(least[at], doc)
@@ -115,11 +113,10 @@ def hot_keys(docs: DataFrame, config: SubstringConfig) -> tuple[np.ndarray, np.n
     least = max(8, int(config.hot_share * n / every))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             kinds, keys = [], []
             for text in batch.column("text").to_pylist():
-                hashes, seeds, at = _hashed(text, memo, config)
+                hashes, seeds, at = _hashed(text, config)
                 for kind, own in (
                     (0, np.unique(seeds[np.unique(at)])),
                     (1, np.unique(run_hashes(hashes, config.length, KEY).view(np.int64))),
@@ -141,7 +138,6 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
     smallest); ws has four bytes for each window that isn't decided."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
         for batch in batches:
             keys, ids, at_, sizes, bodies = [], [], [], [], []
 
@@ -152,7 +148,7 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
             for doc, text, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shared"))):
                 if shared is None and not len(hot):
                     continue
-                hashes, seeds, at = _hashed(text, memo, config)
+                hashes, seeds, at = _hashed(text, config)
                 if not len(at):
                     continue
                 starts = np.flatnonzero(np.diff(np.concatenate([[-1], at])))
@@ -161,11 +157,11 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
                 check = run_hashes(hashes, config.length, CHECK) ^ (at - np.arange(len(at))).astype(np.uint64)
                 small = (check >> np.uint64(32)).astype(np.uint32)
                 if shared is not None:
-                    own = np.isin(seed, np.array(shared, np.int64))
+                    own = among(seed, np.sort(np.array(shared, np.int64)))
                     if own.any():
                         inside = np.repeat(own, ends - starts)
                         add(seed[own], doc, starts[own], (ends - starts)[own], small[inside])
-                warm = np.isin(seed, hot) if len(hot) else np.zeros(len(seed), bool)
+                warm = among(seed, hot)
                 if not warm.any():
                     continue
                 where = np.flatnonzero(np.repeat(warm, ends - starts))
