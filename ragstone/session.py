@@ -11,7 +11,8 @@ def get_session(app: str = "ragstone", cpus: int | None = None, shuffle_partitio
     """A session with adaptive execution on; the master comes from spark-submit unless `cpus` asks for local mode."""
     builder = SparkSession.builder.appName(app)
     if cpus:
-        builder = builder.master(f"local[{cpus}]")
+        # In local mode the driver's heap is all there is; on a cluster spark-submit sets it.
+        builder = builder.master(f"local[{cpus}]").config("spark.driver.memory", os.environ.get("RAGSTONE_LOCAL_MEMORY", "8g"))
     partitions = shuffle_partitions or int(os.environ.get("RAGSTONE_SHUFFLE_PARTITIONS", 0)) or None
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,5 +21,6 @@ def get_session(app: str = "ragstone", cpus: int | None = None, shuffle_partitio
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
