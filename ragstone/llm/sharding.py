@@ -6,8 +6,9 @@ holds one group or a few until a corpus has many more groups than atoms). The si
 length whatever the corpus, become prefix sums in one row, and there
 
   * a binary search finds the smallest capacity for which a greedy pass needs no more than `shards` shards, and
-  * the cuts are made: each as near to an equal share of what is left as the capacity allows, between the earliest
-    position from which the rest still fits and the latest that the shards so far can reach.
+  * the cuts are made: atoms beyond an equal share stand alone, and what lies between them is cut into equal parts, each
+    as near as the capacity allows, between the earliest position from which the rest still fits and the latest that the
+    shards so far can reach.
 
 Slots are numbered without gathering a shard in one task: rows are dealt into `slot_parts` parts by a hash of their id,
 numbered inside (shard, part), and shifted by the counts of the parts before, a table of shards x parts rows.
@@ -79,6 +80,30 @@ def smallest_capacity(prefix: Column, shards: int) -> Column:
     return searched["yes"]
 
 
+def beyond_share(prefix: Column, shards: int) -> Column:
+    """(at, size) of the atoms, counted from 1, that are larger than an equal share of all the others; under `shards`."""
+    atoms = F.transform(
+        F.sequence(F.lit(1), F.size(prefix) - 1),
+        lambda i: F.struct(i.alias("at"), (F.get(prefix, i) - F.get(prefix, i - 1)).alias("size")),
+    )
+    total = F.element_at(prefix, -1)
+
+    def again(found: Column, every: Column) -> Column:
+        alone = F.aggregate(found, F.lit(0).cast("long"), lambda s, a: s + a["size"])
+        share = (total - alone) / F.greatest(F.lit(1), shards - F.size(found))
+        return F.filter(every, lambda a: a["size"] > share)
+
+    # The share falls as large atoms leave it; a few rounds settle which ones do.
+    return let(
+        atoms,
+        lambda every: F.aggregate(
+            F.sequence(F.lit(1), F.lit(8)),
+            F.filter(every, lambda a: a["size"] * shards > total),
+            lambda found, _: F.when(F.size(again(found, every)) < shards, again(found, every)).otherwise(found),
+        ),
+    )
+
+
 def cut_positions(prefix: Column, capacity: Column, shards: int) -> Column:
     """shards - 1 positions, ascending: the atoms before the first position are shard 0, and so on."""
     last = F.size(prefix) - 1
@@ -98,21 +123,28 @@ def cut_positions(prefix: Column, capacity: Column, shards: int) -> Column:
         ),
     )
 
-    def next_cut(found: Column, j: Column, least: Column) -> Column:
+    def next_cut(found: Column, j: Column, least: Column, giants: Column) -> Column:
         at = F.element_at(found, -1)
-        share = F.get(prefix, at) + (total - F.get(prefix, at)) / (shards - j + 1)
-        below = reach(prefix, F.floor(share).cast("long"))
-        above = F.least(below + 1, last)
-        near = F.when(share - F.get(prefix, below) <= F.get(prefix, above) - share, below).otherwise(above)
+        ahead = F.filter(giants, lambda g: g["at"] > at)
+        wall = F.coalesce(F.get(ahead, F.lit(0))["at"] - 1, last)
+        alone = F.aggregate(ahead, F.lit(0).cast("long"), lambda s, g: s + g["size"])
+        share = (total - F.get(prefix, at) - alone) / F.greatest(F.lit(1), shards - j + 1 - F.size(ahead))
+        run = F.get(prefix, wall) - F.get(prefix, at)
+        part = run / F.greatest(F.lit(1), F.round(run / F.greatest(share, F.lit(1.0))).cast("int"))
+        goal = F.get(prefix, at) + part
+        below = reach(prefix, F.floor(goal).cast("long"))
+        above = F.least(below + 1, wall)
+        near = F.when(goal - F.get(prefix, below) <= F.get(prefix, above) - goal, below).otherwise(above)
+        wanted = F.when(wall == at, at + 1).otherwise(near)
         most = reach(prefix, F.get(prefix, at) + capacity)
-        return F.least(F.greatest(near, F.get(least, j)), most)
+        return F.least(F.greatest(wanted, F.get(least, j)), most)
 
     cuts = let(
-        earliest,
-        lambda least: F.aggregate(
+        F.struct(earliest.alias("least"), beyond_share(prefix, shards).alias("giants")),
+        lambda known: F.aggregate(
             F.sequence(F.lit(1), F.lit(shards - 1)),
             F.array(F.lit(0)),
-            lambda found, j: F.concat(found, F.array(next_cut(found, j, least))),
+            lambda found, j: F.concat(found, F.array(next_cut(found, j, known["least"], known["giants"]))),
         ),
     )
     return F.slice(cuts, 2, shards - 1)
