@@ -48,6 +48,10 @@ def ascii_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(ASCII_TOKEN), F.lit(0))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -95,7 +99,7 @@ def sentences(text: Column) -> Column:
 def reference_claims(answer: Column) -> Column:
     """Sentences of a reference answer; a sentence splits at semicolons only if every part could stand alone."""
     words = lambda x: F.regexp_count(x, F.lit(r"\w+(?:[./:-]+\w+)*"))
-    parts = lambda s: F.filter(F.transform(F.split(s, ";"), F.trim), lambda p: p != "")
+    parts = lambda s: F.filter(F.transform(F.split(s, ";"), lambda p: F.trim(p)), lambda p: p != "")
     alone = lambda p: F.forall(p, lambda x: (words(x) >= 4) & x.rlike(FINITE_VERB))
     split = F.transform(
         sentences(without_markup(F.regexp_replace(answer, r"\r\n?", "\n"))),
@@ -110,8 +114,8 @@ def passages(text: Column) -> Column:
     marker = r"(?im)^\s*passage\s+(\d+)\s*:"
     numbers = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
     bodies = F.slice(F.split(text, marker), F.lit(2), F.greatest(F.size(numbers), F.lit(0)))
-    marked = F.zip_with(numbers, bodies, lambda n, b: F.struct(n.cast("int").alias("number"), F.trim(b).alias("text")))
-    return F.when(F.size(numbers) > 0, marked).otherwise(F.array(F.struct(F.lit(1).alias("number"), F.trim(text).alias("text"))))
+    marked = F.zip_with(numbers, bodies, lambda n, b: F.struct(n.cast("int").alias("number"), stripped(b).alias("text")))
+    return F.when(F.size(numbers) > 0, marked).otherwise(F.array(F.struct(F.lit(1).alias("number"), stripped(text).alias("text"))))
 
 
 def segmented_claims(response: Column) -> Column:

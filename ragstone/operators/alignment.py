@@ -125,7 +125,8 @@ def span_coverage(spans: DataFrame, intervals: DataFrame, span_key: list[str], j
     condition = (F.col("cs") < F.col("end")) & (F.col("ce") > F.col("start"))
     for m in meets:
         condition = m & condition
-    overlap = F.least("end", "ce") - F.greatest("start", "cs")
+    # least() and greatest() pass over nulls, so a span without an interval has to be told apart.
+    overlap = F.when(F.col("cs").isNotNull(), F.least("end", "ce") - F.greatest("start", "cs"))
     return (
         spans.alias("s")
         .join(cover.alias("c"), condition, "left")

@@ -111,9 +111,11 @@ def query_features(text: Column, terms: Column) -> list[Column]:
 def zscore(df: DataFrame, group: str, value: str, fitted_on: Column) -> DataFrame:
     """value_z: standardized by the group's mean and population deviation over the fitted rows; 0 where the deviation is
     0, null where the value is null. Groups are few, so the fit is joined by broadcast when Spark sees its size."""
-    fit = df.filter(fitted_on).groupBy(group).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))
-    z = F.when(F.col(value).isNull() | F.col("m").isNull(), F.lit(None).cast("double")).when(F.col("s") == 0, 0.0).otherwise((F.col(value) - F.col("m")) / F.col("s"))
-    return df.join(fit, group, "left").withColumn(f"{value}_z", z).drop("m", "s")
+    fit = df.filter(fitted_on).groupBy(group).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std"))
+    mean, std = F.col("__mean"), F.col("__std")
+    unknown = F.col(value).isNull() | mean.isNull()
+    z = F.when(unknown, F.lit(None).cast("double")).when(std == 0, 0.0).otherwise((F.col(value) - mean) / std)
+    return df.join(fit, group, "left").withColumn(f"{value}_z", z).drop("__mean", "__std")
 
 
 def hallucination_features(context: Column, response: Column) -> list[Column]:

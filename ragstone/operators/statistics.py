@@ -76,19 +76,18 @@ def holm(tests: DataFrame, family: str, p: str, key: str) -> DataFrame:
 
 def _two_groups(df: DataFrame, group: Column, value: str, by: list[str]) -> DataFrame:
     """Per by: n1, n0, the rank sum of group 1, and the sum of t^3 - t over ties."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(
-        F.count_if(group).alias("a"), F.count_if(~group).alias("b")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(
+        F.count_if(group).alias("__in"), F.count_if(~group).alias("__out")
     )
-    n = F.col("a") + F.col("b")
-    before = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = before + (n + 1) / 2.0
+    inside, n = F.col("__in"), F.col("__in") + F.col("__out")
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
-        counted.withColumn("rank", rank)
+        counted.withColumn("__rank", before + (n + 1) / 2.0)
         .groupBy(*by)
         .agg(
-            F.sum("a").alias("n1"),
-            F.sum("b").alias("n0"),
-            F.sum(F.col("a") * F.col("rank")).alias("rank_sum"),
+            F.sum("__in").alias("n1"),
+            F.sum("__out").alias("n0"),
+            F.sum(inside * F.col("__rank")).alias("rank_sum"),
             F.sum(n.cast("double") * n * n - n).alias("ties"),
         )
     )

@@ -27,7 +27,7 @@ marked AS (SELECT *, CASE WHEN cs > coalesce(max(ce) OVER (PARTITION BY item_id,
 isl AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, k, doc_id ORDER BY cs, ce ROWS UNBOUNDED PRECEDING) AS island FROM marked),
 merged AS (SELECT item_id, k, doc_id, min(cs) AS cs, max(ce) AS ce FROM isl GROUP BY item_id, k, doc_id, island),
 asked AS (SELECT * FROM spans, ks),
-covered AS (SELECT a.item_id, a.k, a.doc_id, coalesce(sum(least(a.e, m.ce) - greatest(a.s, m.cs)), 0)::DOUBLE / (a.e - a.s) AS coverage
+covered AS (SELECT a.item_id, a.k, a.doc_id, coalesce(sum(CASE WHEN m.cs IS NOT NULL THEN least(a.e, m.ce) - greatest(a.s, m.cs) END), 0)::DOUBLE / (a.e - a.s) AS coverage
   FROM asked a LEFT JOIN merged m ON m.item_id = a.item_id AND m.k = a.k AND m.doc_id = a.doc_id AND m.cs < a.e AND m.ce > a.s GROUP BY a.item_id, a.k, a.doc_id, a.s, a.e),
 best AS (SELECT item_id, k, round(max(coverage), 6) AS coverage FROM covered GROUP BY item_id, k),
 labels_ AS (SELECT b.item_id, k.k, NOT EXISTS (SELECT 1 FROM spans s WHERE s.item_id = b.item_id) AS impossible, coalesce(x.coverage, 0) AS coverage,
