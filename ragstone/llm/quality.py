@@ -187,9 +187,11 @@ def base_failed(config: QualityConfig) -> Column:
 
 
 def judged(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The documents with all P columns, P + 'posterior' and P + 'kept'. Two passes over the texts, no text is moved."""
+    """The documents with all P columns, among them P + 'posterior', 'base_failed' and 'kept'.
+
+    The rules read every text once: documents and counts are a written table, which both the fit and the verdict read."""
     named = {f"{P}vote_{k}": v for k, v in rules(config).items()}
-    voted = measured(docs).withColumns(named)
+    voted = staged(measured(docs), "quality-documents").withColumns(named)
     names = list(named)
     model = fit(voted.select(*names), names, config)
     return voted.withColumns(
