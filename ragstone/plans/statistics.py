@@ -80,7 +80,7 @@ u AS (SELECT g.*, rs - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n0 / 12 * ((n1 + n0 + 1
 z AS (SELECT *, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sd AS z FROM u)"""
 
 
-@query(MW + f" SELECT lang, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, round(u, 6) AS u, round(least(1, 2 * ({upper('z')})), 6) AS p, round((2 * u - n1 * n0) / (n1 * n0), 6) AS cliffs_delta FROM z")
+@query(MW + f" SELECT lang, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, round(u, 6) AS u, CASE WHEN sd > 0 THEN round(least(1, 2 * ({upper('z')})), 6) END AS p, CASE WHEN n1 * n0 > 0 THEN round((2 * u - n1 * n0) / (n1 * n0), 6) END AS cliffs_delta FROM z")
 def mann_whitney_u(spark, sf_dir):
     return rounded(S.mann_whitney(predictions(spark, sf_dir), F.col("y") == 1, "p", ["lang"]))
 
@@ -88,7 +88,7 @@ def mann_whitney_u(spark, sf_dir):
 @query(f"""{W}, a AS (SELECT lang, p FROM predictions WHERE y = 1), b AS (SELECT lang, p FROM predictions WHERE y = 0)
 SELECT a.lang, round(avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p < b.p THEN -1 ELSE 0 END), 6) AS cliffs_delta FROM a JOIN b ON a.lang = b.lang GROUP BY a.lang""")
 def cliffs_delta(spark, sf_dir):
-    return rounded(S.mann_whitney(predictions(spark, sf_dir), F.col("y") == 1, "p", ["lang"]).select("lang", "cliffs_delta"))
+    return rounded(S.mann_whitney(predictions(spark, sf_dir), F.col("y") == 1, "p", ["lang"]).select("lang", "cliffs_delta").filter("cliffs_delta is not null"))
 
 
 PAIRED = "d AS (SELECT lang, round(p2 - p, 2) AS d FROM predictions), k AS (SELECT lang, d, rank() OVER (PARTITION BY lang ORDER BY abs(d)) + (count(*) OVER (PARTITION BY lang, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d)"
