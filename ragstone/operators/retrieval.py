@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from ragstone.functions.vectors import dot
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_CONSTANT = 60
 DEPTHS = (1, 3, 5, 10)
+#: Query postings up to which scoring goes by blocks, with the queries in every worker; beyond, by joins.
+MOST_QUERY_POSTINGS = 1_000_000
+#: Documents and cells (documents x terms, documents x questions) of a block.
+BLOCK_DOCS, BLOCK_CELLS = 1024, 4_000_000
 
 
 def tokenized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -75,6 +83,72 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, key: str, question: str)
     )
 
 
+def bm25_candidates(docs: DataFrame, questions: DataFrame, key: str, question: str, k: int) -> DataFrame:
+    """question, key, score: enough of bm25_scores() to hold every question's k best, and all scores of the first k keys.
+
+    With few queries their weights are a small matrix. Each task multiplies blocks of its documents' term weights with
+    it and keeps the k best of a block and those that tie with them, so what is shuffled is k rows per block and question
+    instead of a row per shared term. The number of query postings is counted first; with too many, or with questions
+    that a block can't hold, scores come from bm25_scores()."""
+    asked = (
+        tokenized(questions, question)
+        .select(question, F.explode("tokens").alias("term"))
+        .groupBy(question, "term")
+        .agg(F.count(F.lit(1)).alias("qtf"))
+    )
+    postings = asked.limit(MOST_QUERY_POSTINGS + 1).toArrow()
+    names = sorted(set(postings.column(question).to_pylist()))
+    if postings.num_rows > MOST_QUERY_POSTINGS or len(names) > BLOCK_CELLS // 16:
+        return bm25_scores(docs, questions, key, question)
+    tokened = tokenized(docs, key)
+    wanted = asked.select("term").distinct()
+    idf = {r["term"]: r["idf"] for r in idf_table(tokened).join(wanted, "term", "left_semi").select("term", "idf").collect()}
+    average = tokened.agg(F.avg(F.col("length").cast("double"))).first()[0]
+    first = {r[0] for r in docs.select(key).orderBy(key).limit(k).collect()}
+    place, where = {t: i for i, t in enumerate(sorted(idf))}, {q: i for i, q in enumerate(names)}
+    rows = [x for x in zip(*(postings.column(c).to_pylist() for c in (question, "term", "qtf"))) if x[1] in place]
+    asks = np.array([where[q] for q, _, _ in rows], np.int64)
+    terms = np.array([place[t] for _, t, _ in rows], np.int64)
+    weights = np.array([n * idf[t] for _, t, n in rows])
+    size = max(1, min(BLOCK_DOCS, BLOCK_CELLS // max(1, len(place), len(names))))
+    if len(place) * len(names) > BLOCK_CELLS:
+        return bm25_scores(docs, questions, key, question)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked_of = np.zeros((len(place), len(names)))
+        asked_of[terms, asks] = weights
+        touched = (asked_of != 0).astype(np.float32)
+        touched[terms, asks] = 1
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                block = batch.slice(start, size)
+                keys = block.column(key).to_pylist()
+                tf = np.zeros((len(keys), len(place)))
+                lengths = np.zeros(len(keys))
+                for i, own in enumerate(block.column("tokens").to_pylist()):
+                    lengths[i] = len(own or ())
+                    at = [place[t] for t in own or () if t in place]
+                    np.add.at(tf[i], at, 1)
+                saturated = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[:, None])
+                scores = np.round(saturated @ asked_of, 6)
+                shared = (tf > 0).astype(np.float32) @ touched > 0
+                ordered = np.where(shared, scores, -np.inf)
+                least = np.partition(ordered, -min(k, len(keys)), axis=0)[-min(k, len(keys))]
+                early = np.array([x in first for x in keys])
+                doc, asks_ = np.nonzero(shared & ((ordered >= least) | early[:, None]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([names[j] for j in asks_], postings.schema.field(question).type),
+                        block.column(key).take(pa.array(doc)),
+                        pa.array(scores[doc, asks_], pa.float64()),
+                    ],
+                    names=[question, key, "score"],
+                )
+
+    kind = dict(docs.dtypes)[key]
+    return tokened.select(key, "tokens").mapInArrow(score, f"{question} {dict(questions.dtypes)[question]}, {key} {kind}, score double")
+
+
 def ranked(scores: DataFrame, group: str | list[str], key: str, k: int, score: str = "score", digits: int = 6) -> DataFrame:
     """The k best of each group by (-score, key), with rank; scores are compared at `digits` places, so that the order
     doesn't hang on the order of summation. Spark keeps k rows a group before the shuffle (WindowGroupLimit)."""

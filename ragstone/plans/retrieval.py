@@ -75,7 +75,7 @@ def benchmark(spark, sf_dir):
 
 def bm25_hits(spark, sf_dir, k: int = 10):
     docs, items = documents(spark, sf_dir), benchmark(spark, sf_dir)
-    scores = R.bm25_scores(docs, items, "doc_id", "item_id")
+    scores = R.bm25_candidates(docs, items, "doc_id", "item_id", k)
     return R.padded_top_k(scores, docs, items, "item_id", "doc_id", k)
 
 

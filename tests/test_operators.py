@@ -16,6 +16,18 @@ def test_bm25_ranks_the_exact_term_first_and_pads(spark):
     assert got == [(7, 1, 1), (7, 2, 0), (8, 1, 0), (8, 2, 1)]
 
 
+def test_blocks_and_joins_score_alike(spark, monkeypatch):
+    words = ["the", "a", "cat", "dog", "sat", "on", "mat", "rare"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * j) % 7] for j in range(1, 3 + i % 9)) + (" rare" if i == 77 else "")) for i in range(200)] + [(900, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "the cat cat"), (2, "rare dog"), (3, "unknown"), (4, "")], "item_id long, text string")
+    monkeypatch.setattr(retrieval, "BLOCK_DOCS", 16)
+    top = lambda s: rows(retrieval.padded_top_k(s, docs, asked, "item_id", "doc_id", 5), "item_id", "rank", "doc_id", "score")
+    blocks = top(retrieval.bm25_candidates(docs, asked, "doc_id", "item_id", 5))
+    assert blocks == top(retrieval.bm25_scores(docs, asked, "doc_id", "item_id")) and len(blocks) == 20
+    monkeypatch.setattr(retrieval, "MOST_QUERY_POSTINGS", 2)
+    assert blocks == top(retrieval.bm25_candidates(docs, asked, "doc_id", "item_id", 5))
+
+
 def test_ties_go_to_the_smaller_key(spark):
     df = spark.createDataFrame([(1, "z", 1.0), (1, "a", 1.0), (1, "m", 0.0), (1, "n", float("nan"))], "g long, k string, score double")
     assert rows(retrieval.ranked(df, "g", "k", 2), "rank", "k") == [(1, "a"), (2, "z")]
