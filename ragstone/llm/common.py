@@ -56,10 +56,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Paths of staged tables, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes this application's staged tables, once no result that reads them is needed; returns how many."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table in the shared folder: lineage ends there, and lost executors cost nothing before it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -55,6 +55,13 @@ def test_targets_are_met(spark):
         assert abs(taken[s] - want[s]) < 0.1 * want[s] + 200
 
 
+def test_rates_beyond_the_bound_are_joined_by_source(spark):
+    rows = [(i, f"s{i % 5}" if i % 5 else None, "w " * (i % 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    both = [sorted(map(tuple, M.mix_report(df, M.MixConfig(broadcast_sources=n)).collect())) for n in (0, 100)]
+    assert both[0] == both[1]
+
+
 def test_one_source_and_capped_ones(spark):
     taken, want = check(spark, [(1, "a", "x y z"), (2, "a", "q")])
     assert want == {"a": 4} and taken["a"] == 4
