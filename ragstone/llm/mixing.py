@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of
+from .common import WORD, staged, text_of
 
 M = "__mix_"
 
@@ -30,6 +30,8 @@ class MixConfig:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     max_repeats: int = 3
     seed: str = "mix-1"
+    #: Up to so many sources, the table of rates is broadcast; beyond, it is joined by source.
+    broadcast_sources: int = 100_000
 
 
 def draw(key: Column, seed: str) -> Column:
@@ -81,10 +83,12 @@ def source_rates(measured: DataFrame, config: MixConfig = MixConfig()) -> DataFr
 def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The documents with M + size, source_size, target, rate and copies.
 
-    The rates have one row per source: Spark broadcasts them if they are small enough and joins by a sort, splitting
-    hot sources, if not."""
+    The rates have one row per source and are written and counted first: up to a bound they're broadcast, so that texts
+    don't move; beyond it, Spark joins by source and splits hot ones."""
     measured = sized(docs)
-    rates = source_rates(measured.select(f"{M}source", f"{M}size"), config)
+    rates = staged(source_rates(measured.select(f"{M}source", f"{M}size"), config), "mix-rates")
+    if rates.count() <= config.broadcast_sources:
+        rates = F.broadcast(rates)
     joined = measured.join(rates, F.col(f"{M}source").eqNullSafe(F.col(f"{M}of")), "left").drop(f"{M}of")
     rate, whole = F.col(f"{M}rate"), F.floor(F.col(f"{M}rate"))
     extra = (draw(F.col("doc_id"), config.seed) < rate - whole).cast("long")
