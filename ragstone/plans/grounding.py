@@ -77,7 +77,7 @@ g AS (SELECT response_id, count(status) AS n, count(*) FILTER (WHERE status = 'e
 SELECT response_id, CAST(n AS BIGINT) AS claims, CAST(e AS BIGINT) AS evaluated, CAST(u AS BIGINT) AS unsupported, round(m, 6) AS mean_support, c AS maximum_contradiction, CASE WHEN e > 0 THEN round(u::DOUBLE / e, 6) END AS unsupported_share, CASE WHEN n > 0 THEN e > 0 AND u = 0 AND e = n END AS fully_supported FROM g""")
 def response_grounding(spark, sf_dir):
     every = responses(spark, sf_dir).select("response_id").join(support(spark, sf_dir), "response_id", "left")
-    return rounded(G.response_grounding(every, ["response_id"], 0.4))
+    return rounded(G.response_grounding(every, ["response_id"], 0.4), "maximum_contradiction")
 
 
 @query(PAIRS + SUPPORT + """, h AS (SELECT s.*, CASE WHEN length(c.t) % 4 = 0 THEN 1 ELSE 0 END AS human FROM sup s JOIN claims c ON c.response_id = s.response_id AND c.claim_index = s.claim_index WHERE s.status = 'evaluated')
