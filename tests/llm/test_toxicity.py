@@ -6,7 +6,7 @@ from ragstone.llm.toxicity import ToxicityConfig, fit_machine, text_terms, toxic
 
 
 def test_held_out_accuracy(spark, sf):
-    sf = sf.replace("0.001", "0.01")
+    sf = sf.replace("0.001", "0.1")  # the smaller tables hold out too few toxic documents to tell
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = {r.doc_id: r for r in toxicity_scores(docs, labels).collect()}
     assert len(rows) == docs.count()
@@ -14,7 +14,8 @@ def test_held_out_accuracy(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
     held = [(rows[r.doc_id].score, r.toxic) for r in labels.collect() if rows[r.doc_id].held_out]
     pairs = [(a > b) + 0.5 * (a == b) for a, y in held for b, z in held if y > z]
-    assert sum(pairs) / len(pairs) > 0.9
+    assert sum(pairs) / len(pairs) > 0.95
+    assert sum(y == 0 and a >= 0.5 for a, y in held) <= 2 and sum(y == 1 and a >= 0.5 for a, y in held) > 0.8 * sum(y for _, y in held)
 
 
 def test_labels_of_held_out_rows_dont_matter(spark, sf):
@@ -26,7 +27,7 @@ def test_labels_of_held_out_rows_dont_matter(spark, sf):
 
 def test_pairs_of_terms_are_learned():
     """Either term alone is harmless, both together are not: no sum of weights separates that."""
-    rows = [np.array(x) for x in ([], [0], [1], [0, 1])] * 50
+    rows = [np.array(x, np.int64) for x in ([], [0], [1], [0, 1])] * 50
     labels = np.array([0.0, 1.0, 1.0, 0.0] * 50)
     bias, w, v = fit_machine(rows, labels, np.ones(200), 2, ToxicityConfig(epochs=600))
     margin = [bias + w[r].sum() + 0.5 * (v[r].sum(0) ** 2 - (v[r] ** 2).sum(0)).sum() for r in rows[:4]]
