@@ -4,7 +4,8 @@ The patterns (`assign`, `access`, `hex`) are searched in every whole text. Besid
 that mix digits and letters are put to a token-efficiency test: a byte-pair vocabulary learned from ordinary text spells
 random characters with few characters a token, words and names with many. A string whose ratio of characters to tokens
 is below `least_ratio` is a `token` span, unless it is a known kind of digest (hexadecimal of a digest's length), a UUID,
-a number, or an identifier made of words and numbers, or lies in a span of the fixed patterns.
+a number, or an identifier made of words and numbers, or lies in a span of the fixed patterns. Only what the vocabulary
+itself spells as words (`word_ratio`) excuses an identifier.
 
 Edge cases: a null text is empty; an empty text has no spans and the digest of the empty string; repeated rows are
 scanned alike; positions are code points, end exclusive; an empty table gives an empty table; extra columns stay in
@@ -46,6 +47,7 @@ class SecretConfig:
     pattern: str = ""
     assign_chars: int = 12
     least_ratio: float = 1.9
+    word_ratio: float = 2.5
     mask: str = "[SECRET]"
 
 
@@ -65,20 +67,22 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_identifier(text: str) -> bool:
-    """Words and numbers joined by single separators or by case, such as max_retry_count2 or Build-2024-09-30."""
+def is_identifier(text: str, encode, word_ratio: float) -> bool:
+    """Words and numbers joined by single separators or by case, such as max_retry_count2 or Build-2024-09-30; a run of
+    letters is a word if the vocabulary spells it with `word_ratio` characters a token or more."""
     pieces = re.split(r"[+/_=-]+", text)
-    parts = [x for p in pieces for x in PART.findall(p)]
-    words = sum(len(x) for x in parts if len(x) >= 4 and x.isalpha())
-    return words >= 0.6 * len(text)
+    parts = [x for p in pieces for x in PART.findall(p) if len(x) >= 4 and x.isalpha()]
+    if sum(map(len, parts)) < 0.6 * len(text):
+        return False
+    return sum(len(x) for x in parts if len(x) >= word_ratio * len(encode(x))) >= 0.6 * len(text)
 
 
-def looks_random(text: str, encode, least_ratio: float) -> bool:
+def looks_random(text: str, encode, config: SecretConfig) -> bool:
     if text.isdigit() or not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
         return False
-    if UUID.fullmatch(text) or len(text) in DIGEST_LENGTHS and DIGEST.fullmatch(text) or is_identifier(text):
+    if UUID.fullmatch(text) or len(text) in DIGEST_LENGTHS and DIGEST.fullmatch(text):
         return False
-    return len(text) / len(encode(text)) < least_ratio
+    return len(text) / len(encode(text)) < config.least_ratio and not is_identifier(text, encode, config.word_ratio)
 
 
 def find_spans(text: str, encode, config: SecretConfig) -> list[tuple[int, int, int]]:
@@ -92,7 +96,7 @@ def find_spans(text: str, encode, config: SecretConfig) -> list[tuple[int, int,
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = list(found)
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and looks_random(m[0], encode, config.least_ratio):
+        if not any(s < m.end() and m.start() < e for s, _, e in base) and looks_random(m[0], encode, config):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -55,3 +56,13 @@ def test_masks_and_odd_rows(spark, odd, none):
     assert len(report) == 13 and all(r.n_assign + r.n_access + r.n_hex == 0 for r in report)
     assert S.redact_secrets(odd).columns == odd.columns
     assert S.secret_report(none).collect() == [] and S.redact_secrets(none).collect() == []
+
+
+@pytest.mark.parametrize("alphabet, least", [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.99), ("0123456789abcdefghijklmnopqrstuvwxyz", 0.97)])
+def test_keys_with_long_letter_runs_are_no_identifiers(scan, alphabet, least):
+    draw = random.Random(5)
+    for size in (20, 32, 40):
+        keys = ["".join(draw.choice(alphabet) for _ in range(size)) for _ in range(500)]
+        keys = [x for x in keys if any(c.isdigit() for c in x)]
+        assert sum(("token", x) in scan(x) for x in keys) >= least * len(keys)
+    assert not scan("maxRetryCountForUpload2") and not scan("Build_version_2024-09-30")
