@@ -1,11 +1,13 @@
 """Secret scans: three fixed patterns and a token-efficiency test.
 
-The patterns (`assign`, `access`, `hex`) are searched in every whole text. Besides, long strings of the base64 alphabet
-that mix digits and letters are put to a token-efficiency test: a byte-pair vocabulary learned from ordinary text spells
-random characters with few characters a token, words and names with many. A string whose ratio of characters to tokens
-is below `least_ratio` is a `token` span, unless it is a known kind of digest (hexadecimal of a digest's length), a UUID,
-a number, or an identifier made of words and numbers, or lies in a span of the fixed patterns. Only what the vocabulary
-itself spells as words (`word_ratio`) excuses an identifier.
+The patterns (`assign`, `access`, `hex`) are searched in every whole text. Besides, strings of 16 or more characters of
+the base64 alphabet, a letter among them, are put to a token-efficiency test: a byte-pair vocabulary learned from ordinary
+text spells random characters with few characters a token, words and names with many. A string whose ratio of characters
+to tokens is below `least_ratio` (below `short_ratio` if shorter than `long_chars`) is a `token` span, unless it is a known
+kind of digest (hexadecimal of a digest's length), a UUID, a time, or an identifier made of words and numbers; only what
+the vocabulary itself spells as words (`word_ratio`) makes an identifier. What spans of the fixed patterns leave of a
+string is tested by itself; beside a hexadecimal run or an access key, `rest_chars` letters and digits are enough, at
+`rest_ratio`.
 
 Edge cases: a null text is empty; an empty text has no spans and the digest of the empty string; repeated rows are
 scanned alike; positions are code points, end exclusive; an empty table gives an empty table; extra columns stay in
@@ -33,7 +35,10 @@ KEYWORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 #: Maximal runs: the same matches as `[0-9a-f]+` of 16 characters or more, found without visiting the short ones.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: The fewest characters of a candidate.
+CANDIDATE_CHARS = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TIMESTAMP = re.compile(r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-][0-9]{2}-?[0-9]{2}-?[0-9]{2}Z?")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -47,6 +52,10 @@ class SecretConfig:
     pattern: str = ""
     assign_chars: int = 12
     least_ratio: float = 1.9
+    long_chars: int = 20
+    short_ratio: float = 1.8
+    rest_chars: int = 6
+    rest_ratio: float = 1.6
     word_ratio: float = 2.5
     mask: str = "[SECRET]"
 
@@ -78,11 +87,31 @@ def is_identifier(text: str, encode, word_ratio: float) -> bool:
 
 
 def looks_random(text: str, encode, config: SecretConfig) -> bool:
-    if text.isdigit() or not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
+    if len(text) < CANDIDATE_CHARS or not any(c.isalpha() for c in text):
         return False
-    if UUID.fullmatch(text) or len(text) in DIGEST_LENGTHS and DIGEST.fullmatch(text):
+    if UUID.fullmatch(text) or TIMESTAMP.fullmatch(text) or len(text) in DIGEST_LENGTHS and DIGEST.fullmatch(text):
         return False
-    return len(text) / len(encode(text)) < config.least_ratio and not is_identifier(text, encode, config.word_ratio)
+    ratio = config.least_ratio if len(text) >= config.long_chars else config.short_ratio
+    return len(text) / len(encode(text)) < ratio and not is_identifier(text, encode, config.word_ratio)
+
+
+def is_rest(text: str, encode, config: SecretConfig) -> bool:
+    """Whether a short string beside a hexadecimal run or an access key reads as more of it."""
+    inner = text.strip("+/_=-")
+    return len(inner) >= config.rest_chars and inner.isalnum() and len(inner) / len(encode(inner)) < config.rest_ratio
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int, int]], first: int) -> Iterator[tuple[int, int]]:
+    """The parts of [start, end) that no span from the first on covers; spans ascend."""
+    for i in range(first, len(spans)):
+        s, _, e = spans[i]
+        if s >= end:
+            break
+        if start < s:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
 
 
 def find_spans(text: str, encode, config: SecretConfig) -> list[tuple[int, int, int]]:
@@ -94,10 +123,15 @@ def find_spans(text: str, encode, config: SecretConfig) -> list[tuple[int, int,
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(found)
+    base, at = sorted(found), 0
+    edges = {x for s, k, e in base if k for x in (s, e)}
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and looks_random(m[0], encode, config):
-            found.append((m.start(), 3, m.end()))
+        while at < len(base) and base[at][2] <= m.start():
+            at += 1
+        for s, e in outside(m.start(), m.end(), base, at):
+            rest = e - s < CANDIDATE_CHARS and (s in edges or e in edges)
+            if (is_rest if rest else looks_random)(text[s:e], encode, config):
+                found.append((s, 3, e))
     return sorted(found)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import pytest
 
@@ -66,3 +67,24 @@ def test_keys_with_long_letter_runs_are_no_identifiers(scan, alphabet, least):
         keys = [x for x in keys if any(c.isdigit() for c in x)]
         assert sum(("token", x) in scan(x) for x in keys) >= least * len(keys)
     assert not scan("maxRetryCountForUpload2") and not scan("Build_version_2024-09-30")
+
+
+@pytest.mark.parametrize("alphabet, size, least", [
+    (string.ascii_letters, 20, 0.98), (string.ascii_letters, 40, 0.99), (string.ascii_lowercase, 40, 0.85),
+    (string.ascii_letters + string.digits, 16, 0.98), (string.ascii_uppercase + "234567", 16, 0.97), (string.digits + string.ascii_lowercase, 18, 0.9),
+])
+def test_letters_only_and_short_keys_are_found(scan, alphabet, size, least):
+    draw = random.Random(6)
+    keys = ["".join(draw.choice(alphabet) for _ in range(size)) for _ in range(500)]
+    assert sum(("token", x) in scan(x) for x in keys) >= least * len(keys)
+    for plain in ("20240930T123000Z", "2024-09-30T12-30-00", "responsibilities", "user/local/share/documents", "1234-5678-9012-3456", "my_long_variable"):
+        assert not scan(plain), plain
+
+
+def test_what_base_spans_leave_of_a_key_is_found(scan):
+    run, left, right = "0123456789abcdef", "Xq7ZtR2mWv9LpK4sHj8B", "TY5nGd3QxUc6VbEo1MrZ"
+    assert scan(left + run + right) == [("token", left), ("hex", run), ("token", right)]
+    assert scan("Xq7ZtR2mWv" + run + "TY5nGd3QxU") == [("token", "Xq7ZtR2mWv"), ("hex", run), ("token", "TY5nGd3QxU")]
+    for around in ("sha256-%s", "commit/%s/files", "my_long_x_%s"):
+        assert scan(around % run) == [("hex", run)]
+    assert scan("my_x_y_z_api_key=abcdefghijklmnop") == [("assign", "api_key=abcdefghijklmnop")]
