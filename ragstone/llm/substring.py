@@ -7,9 +7,9 @@ winnowed anchors, then matches are extended and merged:
     smallest hash is the window's anchor. Equal windows have equal anchors at equal places, so a window can only repeat
     if its anchor occurs in two documents. About one word in five starts an anchor.
  2. Join. Anchors of all documents meet by hash; those that two documents share stay, as a list per document.
- 3. Extend. The windows of a document that share an anchor follow each other; a shared anchor is sent with 32 bits of
-    hash for each of them (64 of the seed and 32 of the window, mixed with its place around the seed, make 96 to rely
-    on). Where anchors meet again, equal windows of documents other than the smallest are repeats.
+ 3. Extend. The windows of a document that share an anchor follow each other; a shared anchor is sent with 64 bits of
+    hash for each of them. Windows of one anchor, or of one key of their own around a hot anchor, are told apart by these
+    64 bits, so that unequal ones pass for equal about n * n / 2 ** 65 times among n (5e-8 for 1.3 million). Where anchors meet again, equal windows of documents other than the smallest are repeats.
  4. Maximal repeats. Per document, overlapping and touching repeats are merged into spans, and their words removed.
 
 Skew: an anchor or window may occur in every document. `hot_share` of a bounded sample of documents tells which anchors
@@ -135,7 +135,7 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
 
     k is where they meet: the anchor's hash, or the window's own around a hot anchor. The low half of `at` is where the
     run starts, the high half marks the windows that are repeats already (hot ones of documents other than the
-    smallest); ws has four bytes for each window that isn't decided."""
+    smallest); ws has eight bytes for each window that isn't decided."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,13 +154,12 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
                 starts = np.flatnonzero(np.diff(np.concatenate([[-1], at])))
                 ends = np.concatenate([starts[1:], [len(at)]])
                 seed = seeds[at[starts]]
-                check = run_hashes(hashes, config.length, CHECK) ^ (at - np.arange(len(at))).astype(np.uint64)
-                small = (check >> np.uint64(32)).astype(np.uint32)
+                check = run_hashes(hashes, config.length, CHECK)
                 if shared is not None:
                     own = among(seed, np.sort(np.array(shared, np.int64)))
                     if own.any():
                         inside = np.repeat(own, ends - starts)
-                        add(seed[own], doc, starts[own], (ends - starts)[own], small[inside])
+                        add(seed[own], doc, starts[own], (ends - starts)[own], check[inside])
                 warm = among(seed, hot)
                 if not warm.any():
                     continue
@@ -172,7 +171,7 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
                     common = windows[place] == key
                     sure = common & (least[place] < doc)
                 one = where[~common]
-                add(key[~common], doc, one, np.ones(len(one), np.int64), small[one])
+                add(key[~common], doc, one, np.ones(len(one), np.int64), check[one])
                 known = where[sure]
                 if len(known):
                     # Up to 32 windows a row; a key of their own spreads them.
@@ -181,10 +180,10 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
                     np.bitwise_or.at(marks, np.searchsorted(firsts, known // 32 * 32), np.uint64(1) << (known % 32).astype(np.uint64))
                     at_row = ((marks << np.uint64(32)) | firsts.astype(np.uint64)).view(np.int64)
                     spread = at_row ^ np.int64(doc * 0x9E3779B1 & 0x7FFFFFFFFFFFFFFF)
-                    add(spread, doc, at_row, np.zeros(len(firsts), np.int64), np.empty(0, np.uint32))
+                    add(spread, doc, at_row, np.zeros(len(firsts), np.int64), np.empty(0, np.uint64))
             size = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-            body = np.concatenate(bodies) if bodies else np.empty(0, np.uint32)
-            offsets = np.concatenate([[0], np.cumsum(4 * size)]).astype(np.int32)
+            body = np.concatenate(bodies) if bodies else np.empty(0, np.uint64)
+            offsets = np.concatenate([[0], np.cumsum(8 * size)]).astype(np.int32)
             blobs = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
             fixed = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in (keys, ids, at_)]
             yield pa.RecordBatch.from_arrays([*fixed, blobs], names=["k", "doc_id", "at", "ws"])
@@ -202,14 +201,14 @@ def _repeats(runs: DataFrame) -> DataFrame:
         blobs = table.column("ws").combine_chunks()
         blobs = blobs if isinstance(blobs, pa.Array) else blobs.chunk(0)
         offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-        body = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint32)
-        size = np.diff(offsets) // 4
+        body = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+        size = np.diff(offsets) // 8
         row = np.repeat(np.arange(len(k)), size)
         marks = (at >> 32) & 0xFFFFFFFF
         if len(row):
             nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             order = np.lexsort((body, k[row]))
-            new = np.concatenate([[True], (np.diff(k[row][order]) != 0) | (np.diff(body[order].astype(np.int64)) != 0)])
+            new = np.concatenate([[True], (np.diff(k[row][order]) != 0) | (np.diff(body[order]) != 0)])
             least = np.minimum.reduceat(doc[row][order], np.flatnonzero(new))[np.cumsum(new) - 1]
             hit = order[doc[row][order] > least]
             np.bitwise_or.at(marks, row[hit], np.int64(1) << nth[hit])

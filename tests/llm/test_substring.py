@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from ragstone.llm.substring import SubstringConfig, dedup_substrings, spans_of, substring_report
-from ragstone.llm.words import anchors, run_hashes, split_words, word_hashes
+from ragstone.llm.words import anchors, mixed, multipliers, run_hashes, split_words, word_hashes
 
 
 def brute(docs, length=13):
@@ -74,3 +74,20 @@ def test_equal_windows_have_equal_anchors():
 def test_word_hashes_follow_words_alone():
     a, b = word_hashes("one two  three\x0btwo"), word_hashes("two")
     assert len(a) == 4 and a[1] == a[3] == b[0] and len({*a.tolist()}) == 3
+
+
+def test_windows_around_one_anchor_that_share_32_bits_stay(spark):
+    draw = np.random.default_rng(3)
+    words = np.array([f"v{i}" for i in range(3000)])
+    hashes = word_hashes(" ".join(words))
+    seed = int(run_hashes(hashes, 5, 1).argmin())
+    rows = draw.integers(0, len(words), (400_000, 13))
+    rows[:, 4:9] = np.arange(seed, seed + 5)
+    check = mixed((hashes[rows] * multipliers(13, 3)).sum(1, dtype=np.uint64)) >> np.uint64(32)
+    order = np.argsort(check)
+    same = np.flatnonzero(np.diff(check[order]) == 0)
+    pairs = [(" ".join(words[rows[order[i]]]), " ".join(words[rows[order[i + 1]]])) for i in same]
+    pairs = [p for p in pairs if all(list(anchors(run_hashes(word_hashes(t), 5, 1), 9)) == [4] for t in p) and p[0] != p[1]]
+    assert pairs
+    docs = [(i, t) for i, t in enumerate(pairs[0])]
+    assert got(substring_report(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
