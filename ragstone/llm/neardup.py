@@ -8,7 +8,8 @@ Jaccard similarity. Ranks are looked at up to a limit at which some k ln k + 2k
 draw per element is the same for a long document and a short one; a document with a coordinate still empty goes on to
 twice the limit. Weights are 1 (`set`, the similarity that verification uses) or the shingle's count (`count`).
 
-Classes. Documents with equal shingle sets are one class at once and go on as their smallest doc_id. Signatures are cut
+Classes. Documents with equal shingle sets are one class at once and go on as one node, a 64-bit hash of the set; doc_id
+plays no part in who is compared, and a row is known by its doc_id and a hash of its text. Signatures are cut
 into bands; those who share a band form a bucket. No bucket is expanded into its pairs: in each round it names one pivot,
 the member with most bucket-mates, and the others that aren't in the pivot's class yet are compared with it, exactly, by
 their shingle sets; links join classes; the pivot leaves the bucket; buckets of one class are done. What matters is
@@ -20,8 +21,8 @@ below the similarity by 32 bits of each shingle, in the first of the buckets tha
 the exact comparison. The loop ends when no bucket holds two classes with members not compared; nothing is capped.
 
 Edge cases: a null text is empty; texts without a word are one class; a text of fewer words than a shingle has one
-shingle, all its words; null ids are a document like any other; repeated rows are in one class; ties of doc_id are one
-document; an empty table gives an empty table; extra columns stay in `keep_one` and aren't read by `near_classes`.
+shingle, all its words; rows with a null doc_id are each in the class of their text, are kept where no row of the class
+has an id, and have the class_id null; rows that share a doc_id are each in the class of their text; an empty table gives an empty table; extra columns stay in `keep_one` and aren't read by `near_classes`.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from .common import staged
 from .words import U, mixed, run_hashes, word_hashes
 
 SHINGLE = 7
-#: Spark's `id` of a document whose doc_id is null.
+#: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
 
 
@@ -146,33 +147,34 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], config: NearConfig) ->
 
 
 def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """id, digest (of the shingle set), bands (array of hashes, empty without shingles), sig (a byte a coordinate).
+    """doc_id, t, node (a hash of the shingle set), bands (array of hashes, empty without shingles), sig (a byte a
+    coordinate).
 
-    docs: id, text."""
+    docs: doc_id, t, text."""
 
-    def signed_batch(ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def signed_batch(ids: list[tuple[int | None, int]], sets: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         darts = signatures(sets, config)
         rows = darts.reshape(len(sets), config.bands, config.rows)
         bands = np.zeros((len(sets), config.bands), U)
         for r in range(config.rows):
             bands = mixed(bands * U(31) + rows[:, :, r])
         lists = [b if len(e) else b[:0] for b, (e, _) in zip(bands.view(np.int64), sets)]
-        digests = [xxhash.xxh3_128_digest(e.tobytes()) for e, _ in sets]
+        nodes = np.array([xxhash.xxh3_64_intdigest(e.tobytes()) for e, _ in sets], U).view(np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()),
-                pa.array(digests, pa.binary()),
+                *(pa.array(x, pa.int64()) for x in zip(*ids)),
+                pa.array(nodes),
                 pa.array(lists, pa.list_(pa.int64())),
                 pa.array([x.tobytes() for x in darts.astype(np.uint8)], pa.binary()),
             ],
-            names=["id", "digest", "bands", "sig"],
+            names=["doc_id", "t", "node", "bands", "sig"],
         )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, size = [], [], 0
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids.append(i)
+            for i, t, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t", "text"))):
+                ids.append((i, t))
                 sets.append(shingles(text, config))
                 size += len(sets[-1][0]) + 1000
                 if size > config.most_at_once:
@@ -181,7 +183,7 @@ def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
             if ids:
                 yield signed_batch(ids, sets)
 
-    return docs.select("id", "text").mapInArrow(sign, "id long, digest binary, bands array<long>, sig binary")
+    return docs.select("doc_id", "t", "text").mapInArrow(sign, "doc_id long, t long, node long, bands array<long>, sig binary")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
@@ -354,37 +356,61 @@ def _without_pivot(alive: DataFrame) -> DataFrame:
     return alive.filter(F.col("id") != F.col("pivot.id"))
 
 
-def near_classes(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """doc_id, class_id: one row per row of docs; class_id is the smallest doc_id of the class."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    sigs = staged(signed(keyed, config), "near-signatures")
-    sets = sigs.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    banded = sets.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "hash")).select(
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id as a number, t (a hash of the text) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+
+
+def _classed(docs: DataFrame, config: NearConfig) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Signatures by row; nodes with their heads, which are a node's first row by (no doc_id, doc_id, t); labels."""
+    rows = keyed(docs)
+    sigs = staged(signed(rows, config), "near-signatures")
+    head = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t")
+    sets = sigs.groupBy("node").agg(F.min(head).alias("head"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    banded = sets.select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "hash")).select(
         F.xxhash64("band", "hash").alias("key"), "id", "band"
     )
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     joined = staged(banded.join(shared, "key"), "near-banded")
     mates = joined.groupBy("id").agg(F.sum("members").alias("mates"))
     buckets = joined.join(mates, "id").select("key", "id", "band", "mates")
-    texts = staged(keyed.join(mates.select("id"), "id", "left_semi").dropDuplicates(["id"]), "near-texts")
-    compact = sets.select(F.col("rep").alias("id"), "sig", "bands").join(shingle_bytes(texts, config), "id")
-    labels = _rounds(staged(buckets, "near-buckets"), staged(compact, "near-bytes"), texts, config)
-    members = sigs.select("id", "digest").join(sets.select("digest", "rep"), "digest")
+    known = F.coalesce("doc_id", F.lit(NO_ID)).alias("known")
+    heads = sigs.groupBy("node").agg(F.min(head).alias("head"))
+    wanted = heads.select(F.col("node").alias("id"), "head.*").join(mates.select("id"), "id", "left_semi").select(known, "t", "id")
+    texts = rows.select(known, "t", "text").join(wanted, ["known", "t"]).dropDuplicates(["known", "t"]).select("id", "text")
+    texts = staged(texts, "near-texts")
+    compact = sets.select(F.col("node").alias("id"), "sig", "bands").join(shingle_bytes(texts, config), "id")
+    return sigs, heads, _rounds(staged(buckets, "near-buckets"), staged(compact, "near-bytes"), texts, config)
+
+
+def near_classes(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """doc_id, class_id: one row per row of docs; class_id is the smallest doc_id of the class, null where doc_id is."""
+    sigs, heads, labels = _classed(docs, config)
+    least = heads.select("node", F.col("head.doc_id").alias("class_id"))
     if labels is not None:
-        members = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("label", "rep"))
-    return members.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.when(F.col("rep") != NO_ID, F.col("rep")).alias("class_id")
-    )
+        linked = least.join(labels, "node")
+        linked = linked.join(linked.groupBy("label").agg(F.min("class_id").alias("first")), "label").select("node", "first")
+        least = least.join(linked, "node", "left").select("node", F.coalesce("first", "class_id").alias("class_id"))
+    return sigs.select("doc_id", "node").join(least, "node").select("doc_id", F.expr("if(doc_id is null, null, class_id)").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """The documents whose doc_id is their class's smallest, one row each, with their own columns."""
-    kept = near_classes(docs, config).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("__near_id"))
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    """One row of each class with its own columns: that of the smallest doc_id, one without a doc_id if none has any."""
+    _, heads, labels = _classed(docs, config)
+    if labels is not None:
+        label = F.coalesce("label", "node")
+        heads = heads.join(labels, "node", "left").groupBy(label).agg(F.min("head").alias("head"))
+    kept = heads.select(F.col("head.doc_id").alias("__near_id"), F.col("head.t").alias("__near_t"))
+    # Rows of equal doc_id and text are alike but for further columns.
+    first = Window.partitionBy("doc_id", "__near_text").orderBy("__near_text")
     return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__near_id")), "left_semi")
+        docs.withColumn("__near_text", F.xxhash64("text"))
+        .join(
+            kept,
+            F.col("doc_id").cast("long").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_t")),
+            "left_semi",
+        )
         .withColumn("__near_nth", F.row_number().over(first))
         .filter("__near_nth = 1")
-        .drop("__near_nth")
+        .drop("__near_nth", "__near_text")
     )

@@ -114,3 +114,16 @@ def test_odd_rows(spark, odd, none):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and set(ids) <= {None, 6, 7, 8, 9, 10} | {1, 3}
     assert N.near_classes(none).collect() == [] and N.keep_one(none).collect() == []
+
+
+def test_rows_without_an_id_or_with_one_id_stay_by_their_texts(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(None, text(x)) for x in "abcdef"] + [(None, text("a")), (None, text("b") + " more")]
+    rows += [(1, text("g")), (1, text("h")), (2, text("h")), (3, text("c")), (4, text("d") + " more"), (5, text("c") + " more"), (1, text("g"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in N.keep_one(docs).collect())
+    b = [t for i, t in kept if not i and t.startswith("b0 ")]
+    assert len(b) == 1 and b[0] in (text("b"), text("b") + " more")
+    assert kept == sorted([(0, text("a")), (0, b[0]), (0, text("e")), (0, text("f")), (1, text("g")), (1, text("h")), (3, text("c")), (4, text("d") + " more")])
+    classes = sorted((r.doc_id or 0, r.class_id or 0) for r in N.near_classes(docs).collect())
+    assert classes == [(0, 0)] * 8 + [(1, 1)] * 3 + [(2, 1), (3, 3), (4, 4), (5, 3)]
