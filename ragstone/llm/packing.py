@@ -6,8 +6,10 @@ subset-sum dynamic programme over a bitset (bit s: sum s can be reached, multipl
 multiset of remaining lengths that comes closest to what is left of the window; the counts are read back from the
 bitsets. As remainders of equal length are alike, a window's multiset is used as often as the counts allow at once.
 
-Documents are packed in blocks of about `block_docs`, dealt by a hash, each in one task with memory bounded by the
-block; only lengths and checksums move, no ids. A block wastes about one window, one in several hundred.
+Documents are packed in blocks of about `block_docs`, or of `block_chars` characters where they are long, dealt by a
+hash, each in one task with memory bounded by the block and the longest text. Ids move once, to their block, and
+`packed_pieces` gives them with every piece; the query's checksums are those of its ids. A block wastes about one window,
+one in several hundred.
 
 Ids are computed with the vocabulary's ranks, several times as fast as the tokenizer and with equal ids; texts that hold
 one of the tokenizer's special strings go through the tokenizer itself. Long texts are encoded in slices cut where a
@@ -20,7 +22,6 @@ allowed; an empty table gives an empty table; further columns aren't read.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,7 @@ class PackConfig:
     window: int = 2048
     end_id: int = 1
     block_docs: int = 8192
+    block_chars: int = 1 << 26
     slice_chars: int = 1 << 20
 
 
@@ -122,43 +124,42 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[dict[int, int], int]
 
 
 def tokenized(docs: DataFrame, config: PackConfig) -> DataFrame:
-    """doc_id, doc_tokens, crcs: the CRC-32 of each piece of `window` ids."""
+    """doc_id, ids: four bytes each, the low one first."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, crcs = [], []
-            for text in batch.column("text").to_pylist():
-                ids = token_ids(text or "", config).astype("<u4")
-                sizes.append(len(ids))
-                crcs.append([zlib.crc32(ids[i : i + config.window].tobytes()) for i in range(0, len(ids), config.window)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],
-                names=["doc_id", "doc_tokens", "crcs"],
-            )
+            for part in range(0, batch.num_rows, 1000):
+                some = batch.slice(part, 1000)
+                ids = [token_ids(text or "", config).astype("<u4").tobytes() for text in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, doc_tokens long, crcs array<long>")
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
 
 
-def pack_documents(docs: DataFrame, config: PackConfig | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; one row per piece."""
+def packed_pieces(docs: DataFrame, config: PackConfig | None = None) -> DataFrame:
+    """doc_id, start, length, ids, doc_tokens, sequence_id, offset; one row per piece, with its ids as `tokenized` has them.
+
+    A sequence is the ids of its pieces in the order of their offset."""
     config = config or default_config()
-    blocks = max(1, -(-docs.count() // config.block_docs))
-    block = F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(blocks))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    count, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // config.block_docs), -(-chars // config.block_chars))
+    block = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(blocks))
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def pack(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").combine_chunks()
-        sizes, crcs = table.column("doc_tokens").to_pylist(), table.column("crcs").to_pylist()
+        docs = table.column("doc_id").combine_chunks()
+        known, ids = docs.to_pylist(), table.column("ids").to_pylist()
+        sizes = [len(x) // 4 for x in ids]
         first = key[0].as_py() << 32
-        order = sorted(range(len(sizes)), key=lambda i: ((ids[i].as_py() is None, ids[i].as_py()), crcs[i]))
-        rows: list[tuple] = []  # position, start, length, crc, sequence, offset
+        order = sorted(range(len(sizes)), key=lambda i: ((known[i] is None, known[i]), ids[i]))
+        rows: list[tuple] = []  # position, start, length, sequence, offset
         rest: dict[int, list[int]] = defaultdict(list)
         used = 0
         for i in order:
             full, left = divmod(sizes[i], config.window)
             for k in range(full):
-                rows.append((i, k * config.window, config.window, crcs[i][k], first + used, 0))
+                rows.append((i, k * config.window, config.window, first + used, 0))
                 used += 1
             if left:
                 rest[left].append(i)
@@ -168,14 +169,22 @@ def pack_documents(docs: DataFrame, config: PackConfig | None = None) -> DataFra
                 for length, n in chosen.items():
                     for _ in range(n):
                         i = rest[length].pop()
-                        rows.append((i, sizes[i] - length, length, crcs[i][-1], first + used, offset))
+                        rows.append((i, sizes[i] - length, length, first + used, offset))
                         offset += length
                 used += 1
-        at = [pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * 6
+        at = [pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * 5
+        pieces = pa.array([ids[i][4 * start : 4 * (start + length)] for i, start, length, _, _ in rows], pa.binary())
         return pa.table(
-            [ids.take(at[0]), at[1], at[2], at[3], pa.array(sizes, pa.int64()).take(at[0]), at[4], at[5]], names=names
+            [docs.take(at[0]), at[1], at[2], pieces, pa.array(sizes, pa.int64()).take(at[0]), at[3], at[4]], names=names
         )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = ", ".join(f"{n} {kind if n == 'doc_id' else 'long'}" for n in names)
+    kinds = {"doc_id": dict(docs.dtypes)["doc_id"], "ids": "binary"}
+    schema = ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names)
     return tokenized(docs, config).withColumn("block", block).groupBy("block").applyInArrow(pack, schema)
+
+
+def pack_documents(docs: DataFrame, config: PackConfig | None = None) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; one row per piece of packed_pieces."""
+    return packed_pieces(docs, config).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )

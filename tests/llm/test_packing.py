@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from ragstone.llm.packing import PackConfig, default_config, fill, pack_documents, plan, slices, token_ids
+from ragstone.llm.packing import PackConfig, default_config, fill, pack_documents, packed_pieces, plan, slices, token_ids
 
 
 def check(rows, ids_of, window=2048):
@@ -80,3 +80,20 @@ def test_odd_rows(spark, odd, none):
     assert ids == {None, *range(1, 11)}
     assert sum(r.doc_id == 2 for r in rows) == 2 and [r.length for r in rows if r.doc_id == 4] == [1]
     assert pack_documents(none).collect() == []
+
+
+def test_sequences_hold_the_ids_of_their_texts(spark, corpus, sf):
+    config = PackConfig(**{**vars(default_config()), "block_chars": 100_000})
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = packed_pieces(docs, config).collect()
+    sequences, texts = defaultdict(dict), defaultdict(dict)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length
+        sequences[r.sequence_id][r.offset], texts[r.doc_id][r.start] = ids, ids
+    assert len({s >> 32 for s in sequences}) > 1
+    assert all(sum(map(len, x.values())) <= 2048 for x in sequences.values())
+    for doc, text in corpus.items():
+        assert (np.concatenate([texts[doc][s] for s in sorted(texts[doc])]) == token_ids(text, config)).all()
+    crcs = {(r.doc_id, r.start): r.ids_crc32 for r in pack_documents(docs, config).collect()}
+    assert crcs == {(r.doc_id, r.start): zlib.crc32(r.ids) for r in rows}
