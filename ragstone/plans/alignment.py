@@ -211,7 +211,12 @@ def reference_claim_rows(spark, sf_dir):
 
 @query()
 def passage_rows(spark, sf_dir):
-    made = F.concat(F.lit("passage 1:"), F.substring("text", 1, 40), F.lit("\npassage 2:"), F.substring("text", 41, 40))
+    """Each benchmark text, whole, as two passages: its first half and the rest."""
+    size = F.length("text")
+    half = F.ceil(size / 2).cast("int")
+    made = F.concat(
+        F.lit("passage 1:"), F.substring("text", F.lit(1), half), F.lit("\npassage 2:"), F.substring("text", half + 1, size)
+    )
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(passages(made)).alias("p")).select("item_id", "p.number", "p.text")
 
 

@@ -40,3 +40,12 @@ def test_like_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"forest_out_of_fold", "calibrated_models", "feature_ablation", "candidate_search", "permutation_importance"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_passages_hold_whole_texts(spark):
+    parts = {}
+    for r in QUERIES["passage_rows"](spark, SF).orderBy("item_id", "number").collect():
+        parts.setdefault(r.item_id, []).append(r.text)
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert {i: "".join("".join(p).split()) for i, p in parts.items()} == {i: "".join(t.split()) for i, t in texts.items()}
+    assert all(len(p) == 2 for p in parts.values())
