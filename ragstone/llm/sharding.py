@@ -1,8 +1,8 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
 Documents with equal texts form a group and stay together. Groups are ordered by the MD5 of their text; runs of that
-order are gathered into at most `2 ** order_bits` atoms by the first bits of the hash (an atom never splits a group, and
-holds one group or a few until a corpus has many more groups than atoms). The sizes of the atoms, a table of bounded
+order are gathered into at most `2 ** order_bits` atoms by the first bits of the hash (an atom never splits a group; groups
+that share an atom can't be separated, which a few do even where groups are far fewer than atoms). The sizes of the atoms, a table of bounded
 length whatever the corpus, become prefix sums in one row, and there
 
   * a binary search finds the smallest capacity for which a greedy pass needs no more than `shards` shards, and
