@@ -23,6 +23,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def whole(columns: list[str]) -> Column:
+    """A struct of these columns: what is computed next to it can't clash with their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, as an array."""
     return F.filter(F.split(text, GAP), lambda w: w != "")
