@@ -1,9 +1,10 @@
 """Document fingerprints: a threshold-scaled sketch (FracMinHash) over five-word shingles.
 
-Every shingle hash (63 bits) below 2 ** 63 / scale is kept, and the smallest hash of the text besides, so that no text
-with a word has an empty sketch. Sketches merge by union (the smallest hash of a union is that of one of its parts), and
-the containment of one text in another is estimated as the share of its kept hashes that the other keeps too, however
-unequal the two are. Texts with fewer than five words have one shingle, all their words.
+Every shingle hash (63 bits) below 2 ** 63 / scale is kept; where none is, the smallest hash of the text stands in, so
+that no text with a word has an empty sketch. Sketches merge exactly: `merged` of two sketches is the sketch of both
+shingle sets, as a stand-in gives way to kept hashes or to a smaller stand-in. The containment of one text in another is
+estimated as the share of its kept hashes that the other keeps too, however unequal the two are. Texts with fewer than
+five words have one shingle, all their words.
 
 `compare_with_next` joins every document to the next one in descending order of doc_id (after the last: the first)
 without a global sort in one task: approximate quantiles of doc_id, which are ids themselves, cut the order into
@@ -52,20 +53,31 @@ def shingle_hashes(text: Column, config: SketchConfig = SketchConfig()) -> Colum
     return let(words_of(text), of)
 
 
+def _kept(ordered: Column, config: SketchConfig) -> Column:
+    """Of ascending hashes, those below the threshold, or else the smallest."""
+    low = F.filter(ordered, lambda h: h <= F.lit(LARGEST // config.scale))
+    return let(low, lambda x: F.when(F.size(x) > 0, x).otherwise(F.slice(ordered, 1, 1)))
+
+
 def sketch(text: Column, config: SketchConfig = SketchConfig()) -> Column:
     """The kept hashes, ascending."""
 
     def kept(hashes: Column) -> Column:
         low = F.filter(hashes, lambda h: h <= F.lit(LARGEST // config.scale))
-        return F.sort_array(F.array_distinct(F.concat(low, F.array_compact(F.array(F.array_min(hashes))))))
+        return let(
+            low,
+            lambda x: F.when(F.size(x) > 0, F.sort_array(F.array_distinct(x))).otherwise(
+                F.array_compact(F.array(F.array_min(hashes)))
+            ),
+        )
 
     positive = F.transform(shingle_hashes(text, config), lambda h: h.bitwiseAND(F.lit(LARGEST)))
     return let(positive, kept)
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts taken together."""
-    return F.sort_array(F.array_union(a, b))
+def merged(a: Column, b: Column, config: SketchConfig = SketchConfig()) -> Column:
+    """The sketch of the shingles of two texts taken together."""
+    return let(F.sort_array(F.array_union(a, b)), lambda both: _kept(both, config))
 
 
 def containment(a: Column, b: Column) -> Column:
