@@ -28,6 +28,7 @@ from .common import staged
 from .words import U, hash_sums, piece_hashes, runs_of
 
 PREFIXES = (4, 5, 6, 7)
+LARGEST = (1 << 63) - 1
 SLICE = 1 << 20
 #: ASCII letters and all bytes of longer characters.
 LETTER = np.zeros(256, bool)
@@ -170,14 +171,16 @@ def _flags(terms: np.ndarray, buckets: int) -> np.ndarray:
     return flags
 
 
+def sample_limit(labelled: int, config: ToxicityConfig) -> int:
+    """Labelled rows whose 63-bit hash is at most this are the sample: all of them, or about train_docs of any number."""
+    return LARGEST * min(labelled, config.train_docs) // max(1, labelled)
+
+
 def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Model | None:
     """The model, or None without labels of both kinds. The sample is broadcast: it has about train_docs rows."""
     usable = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"), config.folds))
-    n = usable.count()
-    every = 10_000
-    chosen = usable.filter(
-        F.pmod(F.xxhash64("doc_id", F.lit(config.seed)), F.lit(every)) < min(every, every * config.train_docs // max(1, n))
-    ).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    order = F.xxhash64("doc_id", F.lit(config.seed)).bitwiseAND(F.lit(LARGEST))
+    chosen = usable.filter(order <= F.lit(sample_limit(usable.count(), config))).select("doc_id", F.col("toxic").cast("int").alias("label"))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     counted = _term_counts(sample, config).filter((F.col("all") >= config.least_documents) | (F.col("term") == -1))
     counts = staged(counted, "toxicity-counts")

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from ragstone.llm.toxicity import ToxicityConfig, fit_machine, text_terms, toxicity_scores
+from ragstone.llm.toxicity import LARGEST, ToxicityConfig, fit_machine, sample_limit, text_terms, toxicity_scores, train
 
 
 def test_held_out_accuracy(spark, sf):
@@ -45,3 +45,35 @@ def test_terms_are_whole_text():
     a = text_terms("Moron " + "x " * 2_000_000 + "moronic", 1 << 18)
     assert set(text_terms("moron", 1 << 18)) <= set(a) and set(text_terms("moronic", 1 << 18)) <= set(a)
     assert len(text_terms(None, 8)) == 0
+
+
+def test_the_sample_is_never_empty():
+    config = ToxicityConfig()
+    assert sample_limit(0, config) == 0 and sample_limit(500, config) == sample_limit(20_000, config) == LARGEST
+    for n in (10**6, 2 * 10**8 + 1, 10**12):
+        assert abs(n * sample_limit(n, config) / LARGEST - config.train_docs) < 1
+
+
+def test_a_small_share_of_many_labels_still_trains(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    many = labels.selectExpr("doc_id", "toxic", "explode(sequence(1, 60)) as again")
+    assert train(docs, many, ToxicityConfig(train_docs=100 * 60, epochs=2, least_documents=1)) is not None
+
+
+def brute_score(model, text):
+    """The machine's formula, term by term and pair by pair."""
+    at = [int(np.searchsorted(model.terms, t)) for t in text_terms(text, ToxicityConfig().buckets) if t in set(model.terms.tolist())]
+    margin = model.bias + sum(model.weights[i] for i in at)
+    margin += sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(at) for j in at[:k])
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+def test_scores_follow_the_formula(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    config = ToxicityConfig(least_z=0.5, features=300, epochs=20)
+    model = train(docs, labels, config)
+    assert model is not None and len(model.terms) > 50
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity_scores(docs, labels, config).collect():
+        assert abs(r.score - brute_score(model, texts[r.doc_id])) < 1e-9
