@@ -1,17 +1,20 @@
 """Sharding by a minimax contiguous partition of ordered atomic groups.
 
-Documents with equal texts form a group and stay together. Groups are ordered by the MD5 of their text; runs of that
-order are gathered into at most `2 ** order_bits` atoms by the first bits of the hash (an atom never splits a group; groups
-that share an atom can't be separated, which a few do even where groups are far fewer than atoms). The sizes of the atoms, a table of bounded
-length whatever the corpus, become prefix sums in one row, and there
+Documents with equal texts form a group and stay together. Groups are ordered by the MD5 of their text. The search runs
+over atoms, runs of that order with a common prefix of the hash, whose sizes are prefix sums in one row:
 
-  * a binary search finds the smallest capacity for which a greedy pass needs no more than `shards` shards, and
+  * a binary search finds the smallest capacity for which a greedy pass needs no more than `shards` shards, once with
+    atoms as they are and once with every atom of several groups cut freely, which no partition of groups can beat;
+  * as long as the two differ, the atoms that the second pass cuts are refined, into single groups if they hold at most
+    2 ** `refine_bits` and by so many more bits of the hash otherwise. When they agree, the capacity is the smallest for
+    groups. A round refines fewer atoms than there are shards, so the row stays short whatever the number of groups;
   * the cuts are made: atoms beyond an equal share stand alone, and what lies between them is cut into equal parts, each
     as near as the capacity allows, between the earliest position from which the rest still fits and the latest that the
     shards so far can reach.
 
-Slots are numbered without gathering a shard in one task: rows are dealt into `slot_parts` parts by a hash of their id,
-numbered inside (shard, part), and shifted by the counts of the parts before, a table of shards x parts rows.
+Slots are numbered without gathering a shard in one task: equal rows are counted first, the counts dealt into
+`slot_parts` parts by a hash, summed inside (shard, part), and shifted by the counts of the parts before, a table of
+shards x parts rows.
 
 Edge cases: a null text counts as empty (size `overhead`, CRC 0) and belongs to the group of empty texts; repeated rows
 are in one shard in slots of their own; null ids are allowed; an empty table gives an empty table; a group larger than
@@ -25,28 +28,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_at_most, let, longs, text_of
+from .common import count_at_most, let, staged, text_of
+
+#: Hexadecimal digits of the hash that orders groups.
+DIGITS = 32
 
 
 @dataclass(frozen=True)
 class ShardConfig:
     shards: int = 24
     overhead: int = 8
-    #: At most 2 ** 14 atoms, each under a hundredth of a per cent of a large corpus.
-    order_bits: int = 14
+    #: Atoms at first, and groups or atoms that one atom is refined into at most, as powers of 2 (multiples of 4).
+    order_bits: int = 12
+    refine_bits: int = 12
     slot_parts: int = 1024
 
 
 def sized(docs: DataFrame, config: ShardConfig) -> DataFrame:
-    """doc_id, size, text_crc32, atom: one scan, no text is kept."""
+    """doc_id, size, text_crc32, h (what groups are ordered by): one scan, no text is kept."""
     text = text_of()
-    digits = -(-config.order_bits // 4)
-    head = F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("int")
     return docs.select(
-        "doc_id",
-        (F.octet_length(text) + config.overhead).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.shiftright(head, 4 * digits - config.order_bits).alias("atom"),
+        "doc_id", (F.octet_length(text) + config.overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("h")
     )
 
 
@@ -55,26 +57,47 @@ def reach(prefix: Column, limit: Column) -> Column:
     return count_at_most(prefix, limit) - 1
 
 
-def fits(prefix: Column, capacity: Column, shards: int) -> Column:
-    """Whether a greedy pass with this capacity gets to the end."""
-    end = F.aggregate(
-        F.sequence(F.lit(1), F.lit(shards)), F.lit(0), lambda at, _: reach(prefix, F.get(prefix, at) + capacity)
+def greedy_ends(prefix: Column, single: Column, capacity: Column, shards: int) -> Column:
+    """Where a greedy pass with this capacity ends each shard, as sums of sizes from 0 on; atoms that aren't single may be
+    cut anywhere."""
+
+    def end(at: Column) -> Column:
+        limit = at + capacity
+        return let(
+            reach(prefix, limit),
+            # The atom after the position is the one that the limit falls into.
+            lambda i: F.when(F.coalesce(F.get(single, i), F.lit(True)), F.get(prefix, i)).otherwise(limit),
+        )
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(shards)),
+        F.array(F.lit(0).cast("long")),
+        lambda found, _: F.concat(found, F.array(end(F.element_at(found, -1)))),
     )
-    return end == F.size(prefix) - 1
 
 
-def smallest_capacity(prefix: Column, shards: int) -> Column:
+def fits(prefix: Column, single: Column, capacity: Column, shards: int) -> Column:
+    """Whether a greedy pass with this capacity gets to the end."""
+    return F.element_at(greedy_ends(prefix, single, capacity, shards), -1) >= F.element_at(prefix, -1)
+
+
+def smallest_capacity(prefix: Column, shards: int, single: Column | None = None) -> Column:
+    """The smallest capacity that fits; without `single`, no atom is cut."""
     total = F.element_at(prefix, -1)
-    searched = F.aggregate(
-        F.sequence(F.lit(1), F.lit(63)),
-        F.struct(F.lit(0).cast("long").alias("no"), total.cast("long").alias("yes")),
-        lambda s, _: F.when(s["yes"] - s["no"] <= 1, s).otherwise(
-            let(
-                s["no"] + F.floor((s["yes"] - s["no"]) / 2).cast("long"),
-                lambda mid: F.when(
-                    fits(prefix, mid, shards), F.struct(s["no"].alias("no"), mid.alias("yes"))
-                ).otherwise(F.struct(mid.alias("no"), s["yes"].alias("yes"))),
-            )
+    single = F.array_repeat(F.lit(True), F.size(prefix) - 1) if single is None else single
+    searched = let(
+        single,
+        lambda one: F.aggregate(
+            F.sequence(F.lit(1), F.lit(63)),
+            F.struct(F.lit(0).cast("long").alias("no"), total.cast("long").alias("yes")),
+            lambda s, _: F.when(s["yes"] - s["no"] <= 1, s).otherwise(
+                let(
+                    s["no"] + F.floor((s["yes"] - s["no"]) / 2).cast("long"),
+                    lambda mid: F.when(fits(prefix, one, mid, shards), F.struct(s["no"].alias("no"), mid.alias("yes"))).otherwise(
+                        F.struct(mid.alias("no"), s["yes"].alias("yes"))
+                    ),
+                )
+            ),
         ),
     )
     return searched["yes"]
@@ -150,24 +173,67 @@ def cut_positions(prefix: Column, capacity: Column, shards: int) -> Column:
     return F.slice(cuts, 2, shards - 1)
 
 
-def cut_atoms(rows: DataFrame, config: ShardConfig = ShardConfig()) -> list[int]:
-    """The first atom of shards 1, 2, ...: shards - 1 numbers, all that comes to the driver."""
-    atoms = rows.groupBy("atom").agg(F.sum("size").alias("size"))
-    ordered = Window.orderBy("atom").rowsBetween(Window.unboundedPreceding, 0)
-    summed = (
-        atoms.withColumn("upto", F.sum("size").over(ordered))
-        .agg(F.sort_array(F.collect_list(F.struct("atom", "upto"))).alias("all"))
-        .select(
-            F.col("all.atom").alias("atoms"),
-            F.concat(F.array(F.lit(0).cast("long")), F.col("all.upto")).alias("prefix"),
-        )
+def atoms_of(groups: DataFrame, digits: int | Column) -> DataFrame:
+    """atom (the first digits of the hash), size, members (how many groups)."""
+    prefix = F.substring(F.col("h"), F.lit(1), digits if isinstance(digits, Column) else F.lit(digits))
+    return groups.groupBy(prefix.alias("atom")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("members"))
+
+
+def in_one_row(atoms: DataFrame) -> DataFrame:
+    """names, prefix (sums of sizes, from 0), single: the atoms in their order."""
+    summed = atoms.withColumn("upto", F.sum("size").over(Window.orderBy("atom").rowsBetween(Window.unboundedPreceding, 0)))
+    packed = summed.agg(F.sort_array(F.collect_list(F.struct("atom", "upto", "members"))).alias("all"))
+    return packed.select(
+        F.col("all.atom").alias("names"),
+        F.concat(F.array(F.lit(0).cast("long")), F.col("all.upto")).alias("prefix"),
+        F.transform("all", lambda a: a["members"] == 1).alias("single"),
     )
+
+
+def settled_atoms(groups: DataFrame, config: ShardConfig) -> DataFrame:
+    """Atoms over which the smallest capacity is that over groups, in one row with it. groups: h, size; one row a group."""
+    atoms = staged(atoms_of(groups, config.order_bits // 4), "shard-atoms")
+    while True:
+        row = in_one_row(atoms)
+        found = (
+            row.withColumn("capacity", smallest_capacity(F.col("prefix"), config.shards))
+            .withColumn("least", smallest_capacity(F.col("prefix"), config.shards, F.col("single")))
+            .withColumn("ends", greedy_ends(F.col("prefix"), F.col("single"), F.col("least"), config.shards))
+            .select(
+                "capacity",
+                "least",
+                # Atoms that an end lies inside: what ends at a sum that no atom does.
+                F.transform(
+                    F.filter("ends", lambda e: F.get("prefix", reach(F.col("prefix"), e)) < e),
+                    lambda e: F.get("names", reach(F.col("prefix"), e)),
+                ).alias("torn"),
+            )
+            .first()
+        )
+        torn = sorted({x for x in found["torn"] or [] if x is not None})
+        if found["capacity"] is None or found["capacity"] <= found["least"] or not torn:
+            return row.withColumn("capacity", F.lit(found["capacity"]).cast("long"))
+        known = F.col("atom").isin(torn)
+        members = {r["atom"]: r["members"] for r in atoms.filter(known).collect()}
+        digits = F.coalesce(
+            *[
+                F.when(F.startswith("h", F.lit(x)), DIGITS if members[x] <= 1 << config.refine_bits else len(x) + config.refine_bits // 4)
+                for x in torn
+            ]
+        )
+        finer = atoms_of(groups.withColumn("digits", digits).filter("digits is not null"), F.col("digits"))
+        atoms = staged(atoms.filter(~known).unionByName(finer), "shard-atoms")
+
+
+def cut_hashes(groups: DataFrame, config: ShardConfig = ShardConfig()) -> list[str]:
+    """Prefixes of the hashes at which shards 1, 2, ... start: shards - 1 strings, all that comes to the driver at last."""
     if config.shards == 1:
         return []
     found = (
-        summed.withColumn("capacity", smallest_capacity(F.col("prefix"), config.shards))
+        settled_atoms(groups, config)
         .withColumn("cuts", cut_positions(F.col("prefix"), F.col("capacity"), config.shards))
-        .select(F.transform("cuts", lambda c: F.coalesce(F.get("atoms", c), F.lit(1 << config.order_bits))).alias("x"))
+        # "g" comes after every hexadecimal digit.
+        .select(F.transform("cuts", lambda c: F.coalesce(F.get("names", c), F.lit("g"))).alias("x"))
         .first()
     )
     return list(found["x"])
@@ -176,26 +242,30 @@ def cut_atoms(rows: DataFrame, config: ShardConfig = ShardConfig()) -> list[int]
 def shard_documents(docs: DataFrame, config: ShardConfig = ShardConfig()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = sized(docs, config)
-    cuts = cut_atoms(rows, config)
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(config.slot_parts)).cast("int")
-    shard = count_at_most(longs(cuts), F.col("atom").cast("long"), bits=10) if cuts else F.lit(0)
-    dealt = rows.withColumns({"shard": shard.cast("int"), "part": part})
-    counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
+    groups = staged(rows.groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
+    shard = F.lit(0)
+    for cut in cut_hashes(groups, config):
+        shard = shard + (F.col("h") >= F.lit(cut)).cast("int")
+    names = ["doc_id", "size", "text_crc32", "shard"]
+    equal = rows.withColumn("shard", shard).groupBy(*names).agg(F.count(F.lit(1)).alias("copies"))
+    dealt = equal.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(config.slot_parts)).cast("int"))
+    counts = dealt.groupBy("shard", "part").agg(F.sum("copies").alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col("shard").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start")
     )
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        dealt.withColumn("within", F.row_number().over(inside) - 1)
-        .join(starts, F.col("shard").eqNullSafe(F.col("s")) & F.col("part").eqNullSafe(F.col("p")))
+        dealt.withColumn("within", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+        .join(starts, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))
+        .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
         .select(
             "doc_id",
             "size",
             "text_crc32",
             F.lit("bytes").alias("law"),
             "shard",
-            (F.col("start") + F.col("within")).cast("long").alias("slot"),
+            (F.col("start") + F.col("within") + F.col("nth") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
         )
     )

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -78,3 +79,50 @@ def test_odd_rows(spark, odd, none):
     by = {r.doc_id: r.shard for r in rows}
     assert by[3] == by[4] and texts[3] is None
     assert H.shard_documents(none).collect() == []
+
+
+def loads_by_group(texts, overhead=8):
+    """Sizes of the groups of equal texts in the order of their hash."""
+    sizes = defaultdict(int)
+    for t in texts:
+        data = (t or "").encode()
+        sizes[hashlib.md5(data).hexdigest()] += len(data) + overhead
+    return [sizes[h] for h in sorted(sizes)]
+
+
+@pytest.mark.parametrize("bits", [4, 12])
+def test_the_capacity_is_exact_for_groups(spark, bits):
+    """However coarse the first atoms are: with 4 bits, 16 atoms hold hundreds of groups, and two large ones share one."""
+    rng = random.Random(bits)
+    for shards, n in ((24, 400), (5, 300), (24, 30)):
+        texts = ["x" * rng.choice((3, 40, 700)) + str(i) for i in range(n)]
+        texts += ["y" * 9000 + str(i) for i in range(3)] + [texts[0]] * 50
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        config = H.ShardConfig(shards=shards, order_bits=bits, refine_bits=4)
+        rows = H.shard_documents(df, config).collect()
+        load = check(rows, dict(enumerate(texts)), shards)
+        groups = loads_by_group(texts)
+        least, low = sum(groups), 0
+        while least - low > 1:  # the smallest capacity by a greedy pass over the groups
+            mid = (least + low) // 2
+            used, room = 0, 0
+            for size in groups:
+                if size > mid:
+                    used = shards + 1
+                    break
+                if size > room:
+                    used, room = used + 1, mid
+                room -= size
+            least, low = (mid, low) if used <= shards else (least, mid)
+        assert max(load.values()) <= least
+        found = H.settled_atoms(H.sized(df, config).groupBy("h").agg(F.sum("size").alias("size")), config).first()
+        assert found.capacity == least
+
+
+def test_equal_rows_have_slots_of_their_own(spark):
+    rows = [(7, "same")] * 500 + [(i, f"text {i}") for i in range(100)]
+    got = H.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), H.ShardConfig(slot_parts=4)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 600 and all(sorted(s) == list(range(len(s))) for s in slots.values())
