@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragstone.session import shared_folder
+
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key, component: the smallest key that is connected to each node.
@@ -15,11 +17,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     smallest of a node to its links; a node then also takes its label's label, so the rounds grow with the logarithm of
     a component's width. Each round is a checkpoint in the cluster's shared folder."""
     labels = nodes.select(key, F.col(key).alias("component"))
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragstone-"))
+    shared_folder(nodes.sparkSession)
     while True:
         by_link = edges.join(labels, key).groupBy("link").agg(F.min("component").alias("least"))
         heard = edges.join(by_link, "link").groupBy(key).agg(F.min("least").alias("heard"))

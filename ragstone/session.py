@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,19 @@ def get_session(app: str = "ragstone", cpus: int | None = None, shuffle_partitio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the driver and all executors share, set on the context.
+
+    A cluster names it in spark.checkpoint.dir; a temporary one is made in local mode only."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if named:
+            context.setCheckpointDir(named)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="ragstone-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or context.getCheckpointDir()).rstrip("/")
