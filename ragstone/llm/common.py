@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragstone.session import shared_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -50,28 +51,29 @@ def count_at_most(ordered: Column, x: Column, bits: int = 31) -> Column:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ragstone-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
 #: Paths of staged tables, by application.
 _STAGED: dict[str, list[str]] = {}
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Deletes this application's staged tables, once no result that reads them is needed; returns how many."""
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+def drop_staged(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Deletes this application's staged tables, once no result that reads them is needed; returns how many.
+
+    first and last select among them in the order in which they were written."""
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    gone = paths[first:last]
+    del paths[first:last]
+    for path in gone:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return len(paths)
+    return len(gone)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """build() as a staged table; the tables that it staged on the way are dropped."""
+    before = len(_STAGED.get(spark.sparkContext.applicationId, []))
+    out = staged(build(), name)
+    drop_staged(spark, before, -1)
+    return out
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

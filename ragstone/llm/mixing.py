@@ -2,15 +2,15 @@
 
 Sources are ordered by code point, null last, and take the weights in turn. A source's target is its weighted share of
 all sizes; a target stops at `max_repeats` times its source's size and the excess is shared again by weight among the
-others until none is above. That fixed point is a water level: in ascending order of limit / weight, a source is full
-if its limit is at most what its weight would get were all sources before it full; the first that isn't full sets the
-level for itself and all after it.
+others until none is above. That fixed point is a water level: sources whose limit is at most their weight times the level
+are full, the others share what is left. The level is found by sharing again until no further source is full, one sum
+over the sources a step. Neither that nor the ranks gather the sources in one task, however many there are.
 
-A document takes floor(rate) copies and one more with probability rate - floor(rate), decided by a hash of its id, so
-reruns agree on any cluster.
+A document takes floor(rate) copies and one more with probability rate - floor(rate), decided by a hash of its id (of its
+text, if the id is null), so reruns agree on any cluster.
 
-Edge cases: a null text has size 0; a source without words has rate 0; documents with a null id share one draw;
-repeated rows take equal copies; an empty table gives an empty table; extra columns stay, whatever their names.
+Edge cases: a null text has size 0; a source without words has rate 0; documents with equal texts and null ids share one
+draw; repeated rows take equal copies; an empty table gives an empty table; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
-
-M = "__mix_"
+from .common import WORD, staged, text_of, whole
 
 
 @dataclass(frozen=True)
@@ -36,84 +34,94 @@ class MixConfig:
 
 def draw(key: Column, seed: str) -> Column:
     """A number in [0, 1) from a hash of seed and key."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))), 256)
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), key), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """The documents with M + 'source' and M + 'size', the number of words."""
-    return docs.withColumns(
-        {f"{M}source": F.col("source"), f"{M}size": F.regexp_count(text_of(), F.lit(WORD)).cast("long")}
+def sized(docs: DataFrame, keep: list[str], config: MixConfig = MixConfig()) -> DataFrame:
+    """`row`, a struct of the columns to keep, source, size (the number of words) and draw."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(text_of())))
+    return docs.select(
+        whole(keep).alias("row"),
+        "source",
+        F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
+        draw(key, config.seed).alias("draw"),
     )
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """The sources with `rank`, from 0, in the order of their names, null last.
+
+    Ranges of names are numbered by themselves and shifted by the counts of the ranges before, one row a range."""
+    order = F.col("source").asc_nulls_last()
+    parts = staged(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("within", within).join(starts, "part").withColumn("rank", F.col("start") + F.col("within")).drop("part", "start", "within")
+
+
+def water_level(sources: DataFrame) -> float | None:
+    """The level at which all sizes are shared, None where every source is full. sources: source_size, most, weight, ratio."""
+    level, full = -1.0, None
+    while True:
+        is_full = F.col("ratio") <= F.lit(level)
+        got = sources.agg(
+            F.sum("source_size").alias("total"),
+            F.sum(F.when(is_full, F.col("most")).otherwise(0.0)).alias("taken"),
+            F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open"),
+            F.count_if(is_full).alias("full"),
+        ).first()
+        if not got["open"]:
+            return None
+        if got["full"] == full:
+            return level
+        level, full = (got["total"] - got["taken"]) / got["open"], got["full"]
+
+
 def source_rates(measured: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """One row per source: M + source, source_size, target, rate. The windows run over one row per source."""
+    """One row per source: of (its name), source_size, target, rate. measured: source, size."""
     weights = F.array(*[F.lit(float(w)) for w in config.weights])
-    rank = F.row_number().over(Window.orderBy(F.col(f"{M}source").asc_nulls_last())) - 1
-    level = Window.orderBy(F.col("ratio"), F.col("rank"))
-    before, onward = level.rowsBetween(Window.unboundedPreceding, -1), level.rowsBetween(0, Window.unboundedFollowing)
-    upto = level.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        measured.groupBy(f"{M}source")
-        .agg(F.sum(f"{M}size").alias("source_size"))
-        .withColumn("rank", rank)
-        .withColumn("weight", F.get(weights, F.col("rank") % len(config.weights)))
+    sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = staged(
+        ranked(sizes)
+        .withColumn("weight", F.get(weights, (F.col("rank") % len(config.weights)).cast("int")))
         .withColumn("most", (config.max_repeats * F.col("source_size")).cast("double"))
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("total", F.coalesce(F.sum("source_size").over(before), F.lit(0)) + F.sum("source_size").over(onward))
-        .withColumn(
-            "unit",
-            (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(onward),
-        )
-        # Units only rise while sources are full; the first that isn't sets the level.
-        .withColumn("level", F.first(F.when(F.col("ratio") > F.col("unit"), F.col("unit")), ignorenulls=True).over(upto))
-        .select(
-            F.col(f"{M}source").alias(f"{M}of"),
-            F.col("source_size").alias(f"{M}source_size"),
-            F.coalesce(F.col("weight") * F.col("level"), F.col("most")).alias(f"{M}target"),
-        )
-        .withColumn(
-            f"{M}rate",
-            F.when(F.col(f"{M}source_size") > 0, F.col(f"{M}target") / F.col(f"{M}source_size")).otherwise(0.0),
-        )
+        .withColumn("ratio", F.col("most") / F.col("weight")),
+        "mix-ranked",
+    )
+    level = water_level(sources)
+    target = F.col("most") if level is None else F.when(F.col("ratio") <= level, F.col("most")).otherwise(F.col("weight") * F.lit(level))
+    return sources.select(F.col("source").alias("of"), "source_size", target.alias("target")).withColumn(
+        "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
 
 
-def mixed(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """The documents with M + size, source_size, target, rate and copies.
+def mixed(docs: DataFrame, keep: list[str], config: MixConfig = MixConfig()) -> DataFrame:
+    """row, size, source_size, target, rate and copies of every document.
 
     The rates have one row per source and are written and counted first: up to a bound they're broadcast, so that texts
     don't move; beyond it, Spark joins by source and splits hot ones."""
-    measured = sized(docs)
-    rates = staged(source_rates(measured.select(f"{M}source", f"{M}size"), config), "mix-rates")
+    measured = sized(docs, keep, config)
+    rates = staged(source_rates(measured.select("source", "size"), config), "mix-rates")
     if rates.count() <= config.broadcast_sources:
         rates = F.broadcast(rates)
-    joined = measured.join(rates, F.col(f"{M}source").eqNullSafe(F.col(f"{M}of")), "left").drop(f"{M}of")
-    rate, whole = F.col(f"{M}rate"), F.floor(F.col(f"{M}rate"))
-    extra = (draw(F.col("doc_id"), config.seed) < rate - whole).cast("long")
-    return joined.withColumn(f"{M}copies", whole + extra)
+    joined = measured.join(rates, F.col("source").eqNullSafe(F.col("of")), "left")
+    whole_copies = F.floor(F.col("rate"))
+    return joined.withColumn("copies", whole_copies + (F.col("draw") < F.col("rate") - whole_copies).cast("long"))
 
 
 def mix_sources(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    copies = F.array_repeat(F.lit(True), F.col(f"{M}copies").cast("int"))
-    return (
-        mixed(docs, config)
-        .withColumn(f"{M}copy", F.explode(copies))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    copies = F.array_repeat(F.lit(True), F.col("copies").cast("int"))
+    return mixed(docs, docs.columns, config).select("row", F.explode(copies)).select("row.*")
 
 
 def mix_report(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    size = F.col(f"{M}size")
-    return mixed(docs.select("doc_id", "source", "text"), config).select(
-        "doc_id",
-        size.alias("size"),
-        F.col(f"{M}source_size").alias("source_size"),
-        F.col(f"{M}target").alias("target"),
-        (size * F.col(f"{M}copies")).alias("taken"),
+    return mixed(docs, ["doc_id"], config).select(
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 

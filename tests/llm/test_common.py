@@ -21,3 +21,10 @@ def test_binary_search(spark):
 def test_words(spark):
     df = spark.createDataFrame([(" a\tb c\x0b d\n",), ("",), (" ",)], "t string")
     assert [r[0] for r in df.select(C.words_of(F.col("t"))).collect()] == [["a", "b c", "d"], [], []]
+
+
+def test_what_a_result_was_made_of_is_dropped(spark):
+    C.drop_staged(spark)
+    first = C.staged(spark.range(3), "kept")
+    made = C.settled(spark, lambda: C.staged(C.staged(spark.range(7), "part"), "part"), "whole")
+    assert made.count() == 7 and first.count() == 3 and C.drop_staged(spark) == 2

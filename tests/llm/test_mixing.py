@@ -77,3 +77,22 @@ def test_odd_rows(spark, odd, none):
     repeats = [r for r in rows if r.doc_id == 2]
     assert len(repeats) == 2 and repeats[0] == repeats[1]
     assert M.mix_report(none).collect() == [] and M.mix_sources(none).collect() == []
+
+
+def test_documents_without_an_id_meet_their_target(spark):
+    rows = [(None, "nobody", f"{i} " + "w " * (i % 30)) for i in range(2000)] + [(i, "x", "w " * 12) for i in range(4000)]
+    got = M.mix_report(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    mine = [r for r in got if r.doc_id is None]
+    assert abs(sum(r.taken for r in mine) - mine[0].target) < 0.1 * mine[0].target and 0 < mine[0].target % mine[0].source_size
+
+
+def test_many_sources_are_ranked_in_order(spark):
+    names = sorted({f"s{i * 7919 % 5000:x}é" for i in range(3000)}) + [None]
+    df = spark.createDataFrame([(n,) for n in sorted(names, key=hash)], "source string").repartition(6)
+    got = {r["source"]: r["rank"] for r in M.ranked(df).collect()}
+    assert got == {n: i for i, n in enumerate(names)}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a", "x y", 5, "r", 0.5)], "doc_id long, source string, text string, size int, row string, draw double")
+    assert [tuple(r) for r in M.mix_sources(docs).collect()] == [(1, "a", "x y", 5, "r", 0.5)]
