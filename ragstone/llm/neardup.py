@@ -4,11 +4,11 @@ Signatures. A document is a set of weighted elements (hashed shingles). Every el
 process over (weight, rank), drawn from a hash of the element, so that equal elements throw equal darts anywhere. A dart
 below the element's weight is a hit; each hit belongs to one of `bands * rows` coordinates by its hash, and a
 coordinate keeps its hit of the smallest rank. Two documents agree in a coordinate with the probability of their weighted
-Jaccard similarity. Ranks are looked at up to a limit at which some k ln k + 2k darts are expected, so the work after one
+Jaccard similarity, the sum of the smaller weights over that of the larger. Ranks are looked at up to a limit at which some k ln k + 2k darts are expected, so the work after one
 draw per element is the same for a long document and a short one; a document with a coordinate still empty goes on to
-twice the limit. Weights are 1 (`set`, the similarity that verification uses) or the shingle's count (`count`).
+twice the limit. A shingle's weight is its count (`count`; `set` makes all weights 1); verification is by the same weights.
 
-Classes. Documents with equal shingle sets are one class at once and go on as one node, a 64-bit hash of the set; doc_id
+Classes. Documents with equal weighted shingles are one class at once and go on as one node, a 64-bit hash of the set; doc_id
 plays no part in who is compared, and a row is known by its doc_id and a hash of its text. Signatures are cut
 into bands; those who share a band form a bucket. No bucket is expanded into its pairs: in each round it names one pivot,
 the member with most bucket-mates, and the others that aren't in the pivot's class yet are compared with it, exactly, by
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, whole
 from .words import U, mixed, run_hashes, word_hashes
 
 SHINGLE = 7
@@ -50,7 +50,7 @@ class NearConfig:
     similarity: float = 0.8
     bands: int = 26
     rows: int = 5
-    weights: str = "set"
+    weights: str = "count"
     seed: int = 1
     pivot_rounds: int = 2
     leaders: int = 1024
@@ -79,6 +79,17 @@ def shingles(text: str | None, config: NearConfig) -> tuple[np.ndarray, np.ndarr
     return np.unique(run_hashes(hashes, length, SHINGLE + length), return_counts=True)
 
 
+def occurrences(text: str | None, config: NearConfig) -> np.ndarray:
+    """Numbers, ascending, whose Jaccard similarity as sets is that of the texts' weighted shingles: one for each shingle,
+    with counts as weights one for each of its occurrences."""
+    elements, counts = shingles(text, config)
+    if config.weights == "set" or not len(counts) or counts.max() == 1:
+        return elements
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    each = np.repeat(elements, counts)
+    return np.unique(np.where(nth > 0, mixed(each + nth.astype(U) * U(0x9E3779B97F4A7C15)), each))
+
+
 def _steps(first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two constants for each of n arrivals from the first."""
     at = np.arange(3 * first + 3, 3 * (first + n) + 3, 3, dtype=U)
@@ -147,7 +158,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], config: NearConfig) ->
 
 
 def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """doc_id, t, node (a hash of the shingle set), bands (array of hashes, empty without shingles), sig (a byte a
+    """doc_id, t, node (a hash of the weighted shingles), bands (array of hashes, empty without shingles), sig (a byte a
     coordinate).
 
     docs: doc_id, t, text."""
@@ -159,7 +170,8 @@ def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
         for r in range(config.rows):
             bands = mixed(bands * U(31) + rows[:, :, r])
         lists = [b if len(e) else b[:0] for b, (e, _) in zip(bands.view(np.int64), sets)]
-        nodes = np.array([xxhash.xxh3_64_intdigest(e.tobytes()) for e, _ in sets], U).view(np.int64)
+        weighted = [e if config.weights == "set" else np.concatenate([e, c.astype(U)]) for e, c in sets]
+        nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in weighted], U).view(np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 *(pa.array(x, pa.int64()) for x in zip(*ids)),
@@ -187,7 +199,7 @@ def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the similarity; texts: id, text."""
+    """The pairs (a, b) whose weighted shingles have at least the similarity; texts: id, text."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.empty(0, U)
@@ -195,8 +207,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> Dat
             keep = []
             for i, (a, one, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")))):
                 if last is None or last != a:
-                    last, mine = a, shingles(one, config)[0]
-                yours = shingles(other, config)[0]
+                    last, mine = a, occurrences(one, config)
+                yours = occurrences(other, config)
                 if min(len(mine), len(yours)) < config.similarity * max(len(mine), len(yours)):
                     continue
                 both = len(np.intersect1d(mine, yours, assume_unique=True))
@@ -257,7 +269,7 @@ def _rounds(buckets: DataFrame, sigs: DataFrame, texts: DataFrame, config: NearC
             F.min("label").alias("low"),
             F.max("label").alias("high"),
             F.count(F.lit(1)).alias("members"),
-            F.max_by(F.struct("id", "label"), F.struct("mates", -F.col("id"))).alias("pivot"),
+            F.max_by(F.struct("id", "label"), F.struct("mates", F.bitwise_not("id"))).alias("pivot"),
         )
         alive = classed.join(state.filter("low < high").drop("low", "high"), "key")
         if n > config.pivot_rounds:
@@ -282,11 +294,11 @@ def _against_pivot(alive: DataFrame) -> DataFrame:
 
 
 def shingle_bytes(texts: DataFrame, config: NearConfig) -> DataFrame:
-    """id, shingles: 32 bits of each distinct shingle, ascending. texts: id, text."""
+    """id, shingles: 32 bits of each of the text's occurrences(), ascending. texts: id, text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles(t, config)[0].astype(np.uint32)) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(occurrences(t, config).astype(np.uint32)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"]
             )
@@ -400,17 +412,13 @@ def keep_one(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     if labels is not None:
         label = F.coalesce("label", "node")
         heads = heads.join(labels, "node", "left").groupBy(label).agg(F.min("head").alias("head"))
-    kept = heads.select(F.col("head.doc_id").alias("__near_id"), F.col("head.t").alias("__near_t"))
+    kept = heads.select(F.col("head.doc_id").alias("id"), F.col("head.t").alias("kept_t"))
+    rows = docs.select(whole(docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"))
     # Rows of equal doc_id and text are alike but for further columns.
-    first = Window.partitionBy("doc_id", "__near_text").orderBy("__near_text")
+    first = Window.partitionBy("doc", "t").orderBy("t")
     return (
-        docs.withColumn("__near_text", F.xxhash64("text"))
-        .join(
-            kept,
-            F.col("doc_id").cast("long").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_t")),
-            "left_semi",
-        )
-        .withColumn("__near_nth", F.row_number().over(first))
-        .filter("__near_nth = 1")
-        .drop("__near_nth", "__near_text")
+        rows.join(kept, F.col("doc").eqNullSafe(F.col("id")) & (F.col("t") == F.col("kept_t")), "left_semi")
+        .withColumn("nth", F.row_number().over(first))
+        .filter("nth = 1")
+        .select("row.*")
     )
