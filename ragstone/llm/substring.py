@@ -16,8 +16,10 @@ Skew: an anchor or window may occur in every document. `hot_share` of a bounded
 and windows are that common (at most sample_docs * words / (hot_share * sample_docs) of them). Hot anchors are known to
 be shared and are not joined at all; windows around them meet by their own hash instead. For hot windows the smallest
 doc_id is found by an aggregation that combines before it shuffles and has one row per hot window; their repeats are
-then known where they stand. The sample only decides which
-way a window takes, never the result. Groups of other keys are small; no pairs of documents are formed anywhere.
+then known where they stand. Of the other anchors, those in more than `crowd` documents, by an exact count, are treated
+as hot ones from there on, so that no key brings together more than `crowd` documents with windows of their own. The
+sample and the count only decide which way a window takes, never the result. Where windows meet, a worker holds a batch
+and the distinct windows of one key. No pairs of documents are formed anywhere.
 
 Texts are shuffled once, by doc_id, and that exchange serves both steps that need them.
 
@@ -49,6 +51,8 @@ class SubstringConfig:
     seed_words: int = 5
     sample_docs: int = 4000
     hot_share: float = 0.01
+    #: An anchor of more documents is a meeting point no longer; its windows meet by themselves.
+    crowd: int = 50_000
 
     @property
     def span(self) -> int:
@@ -145,8 +149,8 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
                 for column, values in zip((keys, ids, at_, sizes, bodies), (k, np.full(len(k), doc, np.int64), at, size, body)):
                     column.append(values)
 
-            for doc, text, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shared"))):
-                if shared is None and not len(hot):
+            for doc, text, shared, crowded in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "shared", "crowded"))):
+                if not shared and not crowded and not len(hot):
                     continue
                 hashes, seeds, at = _hashed(text, config)
                 if not len(at):
@@ -155,12 +159,14 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
                 ends = np.concatenate([starts[1:], [len(at)]])
                 seed = seeds[at[starts]]
                 check = run_hashes(hashes, config.length, CHECK)
-                if shared is not None:
+                if shared:
                     own = among(seed, np.sort(np.array(shared, np.int64)))
                     if own.any():
                         inside = np.repeat(own, ends - starts)
                         add(seed[own], doc, starts[own], (ends - starts)[own], check[inside])
                 warm = among(seed, hot)
+                if crowded:
+                    warm |= among(seed, np.sort(np.array(crowded, np.int64)))
                 if not warm.any():
                     continue
                 where = np.flatnonzero(np.repeat(warm, ends - starts))
@@ -192,44 +198,44 @@ def _extended(matched: DataFrame, config: SubstringConfig, hot: np.ndarray, wind
 
 
 def _repeats(runs: DataFrame) -> DataFrame:
-    """(doc_id, at): runs with a mark for each repeat in the high half of `at`; runs are dealt and sorted by k.
-
-    A worker holds the rows of a batch and of the key that the batch breaks off in."""
-
-    def decide(table: pa.Table) -> pa.RecordBatch:
-        k, doc, at = (table.column(c).to_numpy() for c in ("k", "doc_id", "at"))
-        blobs = table.column("ws").combine_chunks()
-        blobs = blobs if isinstance(blobs, pa.Array) else blobs.chunk(0)
-        offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-        body = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
-        size = np.diff(offsets) // 8
-        row = np.repeat(np.arange(len(k)), size)
-        marks = (at >> 32) & 0xFFFFFFFF
-        if len(row):
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            order = np.lexsort((body, k[row]))
-            new = np.concatenate([[True], (np.diff(k[row][order]) != 0) | (np.diff(body[order]) != 0)])
-            least = np.minimum.reduceat(doc[row][order], np.flatnonzero(new))[np.cumsum(new) - 1]
-            hit = order[doc[row][order] > least]
-            np.bitwise_or.at(marks, row[hit], np.int64(1) << nth[hit])
-        there = marks != 0
-        starts = (marks[there] << 32) | (at[there] & 0xFFFFFFFF)
-        return pa.RecordBatch.from_arrays([pa.array(doc[there]), pa.array(starts)], names=["doc_id", "at"])
+    """(doc_id, at): runs with a mark for each repeat in the high half of `at`; runs are dealt by k and sorted by (k, doc_id).
+
+    Documents come in ascending order, so the first that has a window is its smallest. Of the key that a batch breaks off
+    in, a worker keeps the distinct windows with their first document, not the rows."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        key, seen, firsts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = batch.column("k").to_numpy()
-            cut = int(np.searchsorted(k, k[-1]))
-            if cut == 0 and (not held or held[-1].column("k")[-1].as_py() == k[-1]):
-                held.append(batch)
-                continue
-            yield decide(pa.Table.from_batches([*held, batch.slice(0, cut)]) if cut else pa.Table.from_batches(held))
-            held = [batch.slice(cut)]
-        if held:
-            yield decide(pa.Table.from_batches(held))
+            k, doc, at = (batch.column(c).to_numpy() for c in ("k", "doc_id", "at"))
+            blobs = batch.column("ws")
+            offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            body = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+            size = np.diff(offsets) // 8
+            row = np.repeat(np.arange(len(k)), size)
+            marks = (at >> 32) & 0xFFFFFFFF
+            if key != k[0]:
+                seen, firsts = seen[:0], firsts[:0]
+            old = len(seen)
+            ks = np.concatenate([np.full(old, k[0]), k[row]])
+            windows = np.concatenate([seen, body])
+            docs = np.concatenate([firsts, doc[row]])
+            key = k[-1]
+            if len(ks):
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                order = np.lexsort((windows, ks))
+                new = np.concatenate([[True], (np.diff(ks[order]) != 0) | (np.diff(windows[order]) != 0)])
+                heads = np.flatnonzero(new)
+                least = np.minimum.reduceat(docs[order], heads)
+                hit = order[docs[order] > least[np.cumsum(new) - 1]] - old
+                hit = hit[hit >= 0]
+                np.bitwise_or.at(marks, row[hit], np.int64(1) << nth[hit])
+                last = ks[order][heads] == key
+                seen, firsts = windows[order][heads][last], least[last]
+            there = marks != 0
+            starts = (marks[there] << 32) | (at[there] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[there]), pa.array(starts)], names=["doc_id", "at"])
 
     return runs.mapInArrow(find, "doc_id long, at long")
 
@@ -242,16 +248,16 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, config: SubstringConfig
         found = _window_minima(docs, config, windows).groupBy("w").agg(F.min("doc_id").alias("least")).toPandas()
         smallest = dict(zip(found.w, found.least))
         least = np.array([smallest[w] for w in windows], np.int64)
-    meet = Window.partitionBy("h")
+    meet, many = Window.partitionBy("h"), F.col("n") > config.crowd
     shared = (
         _anchor_rows(docs, config, hot)
-        .withColumns({"least": F.min("doc_id").over(meet), "most": F.max("doc_id").over(meet)})
+        .withColumns({"least": F.min("doc_id").over(meet), "most": F.max("doc_id").over(meet), "n": F.count(F.lit(1)).over(meet)})
         .filter("least < most")
         .groupBy("doc_id")
-        .agg(F.collect_list("h").alias("shared"))
+        .agg(*[F.collect_list(F.when(there, F.col("h"))).alias(name) for name, there in (("shared", ~many), ("crowded", many))])
     )
     runs = _extended(texts.join(shared, "doc_id", "left"), config, hot, windows, least)
-    return _repeats(runs.repartition("k").sortWithinPartitions("k")).groupBy("doc_id").agg(F.collect_list("at").alias("runs"))
+    return _repeats(runs.repartition("k").sortWithinPartitions("k", "doc_id")).groupBy("doc_id").agg(F.collect_list("at").alias("runs"))
 
 
 def starts_of(runs: list[int] | None) -> np.ndarray:

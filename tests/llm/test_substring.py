@@ -42,7 +42,9 @@ def test_shared_passages_of_every_length(spark):
         parts = [[rng.choice(words) for _ in range(rng.randint(0, 30))] for _ in range(3)]
         docs.append((i * 7 % 61, " ".join(sum([parts[0], rng.choice(shared), parts[1], rng.choice(shared), parts[2]], []))))
     # Every document is in the sample and most passages are hot, so both ways are taken.
-    for config in (SubstringConfig(), SubstringConfig(sample_docs=4, hot_share=0.5), SubstringConfig(hot_share=10.0)):
+    hot = SubstringConfig(hot_share=10.0)
+    crowded = SubstringConfig(hot_share=10.0, crowd=3)
+    for config in (SubstringConfig(), SubstringConfig(sample_docs=4, hot_share=0.5), hot, crowded):
         assert got(substring_report(spark.createDataFrame(docs, "doc_id long, text string"), config)) == brute(docs)
 
 
@@ -91,3 +93,17 @@ def test_windows_around_one_anchor_that_share_32_bits_stay(spark):
     assert pairs
     docs = [(i, t) for i, t in enumerate(pairs[0])]
     assert got(substring_report(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_keys_that_many_batches_share(spark):
+    """A key whose rows fill several batches: only its distinct windows are kept from one to the next."""
+    rng = random.Random(5)
+    seed = " ".join(f"s{i}" for i in range(25))
+    docs = [(i * 37 % 3001, f"{rng.randrange(10**6)} {seed} {rng.choice('xyz')} {rng.randrange(10**6)}") for i in range(3001)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for config in (SubstringConfig(hot_share=10.0), SubstringConfig(hot_share=10.0, crowd=100)):
+            assert got(substring_report(spark.createDataFrame(docs, "doc_id long, text string"), config)) == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
