@@ -7,13 +7,15 @@ multiset of remaining lengths that comes closest to what is left of the window;
 bitsets. As remainders of equal length are alike, a window's multiset is used as often as the counts allow at once.
 
 Documents are packed in blocks of about `block_docs`, or of `block_chars` characters where they are long, dealt by a
-hash, each in one task with memory bounded by the block and the longest text. Ids move once, to their block, and
+hash (equal rows also by their number within a task), each in one task with memory bounded by the block and the longest
+text. Ids move once, to their block, and
 `packed_pieces` gives them with every piece; the query's checksums are those of its ids. A block wastes about one window,
 one in several hundred.
 
-Ids are computed with the vocabulary's ranks, several times as fast as the tokenizer and with equal ids; texts that hold
-one of the tokenizer's special strings go through the tokenizer itself. Long texts are encoded in slices cut where a
-letter is followed by a space and a letter, which no pre-token spans, so that memory doesn't follow the longest text.
+Ids are computed with the vocabulary's ranks, several times as fast as the tokenizer and with equal ids; the tokenizer's
+special strings are ids of their own, between which texts are encoded by themselves. Long texts are encoded in slices cut
+where a letter is followed by a space and a letter, which no pre-token spans, so that the encoder's memory doesn't follow
+the longest text; a stretch without such a place is encoded as a whole.
 
 Edge cases: a null text is empty and has the end id only; repeated rows are packed as often as they occur; null ids are
 allowed; an empty table gives an empty table; further columns aren't read.
@@ -29,12 +31,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .secrets import encoding
 
-SEAM = re.compile(r"(?<=[a-z]) (?=[a-z])")
+SEAM = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
 @dataclass(frozen=True)
@@ -56,12 +60,12 @@ def default_config() -> PackConfig:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
+def special_ids(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern for the tokenizer's special strings, longest first, and their ids."""
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    specials = tuple(t.content for t in loaded.get_added_tokens_decoder().values())
-    return loaded, specials
+    ids = {t.content: i for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
+    return (re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None), ids
 
 
 def slices(text: str, size: int) -> Iterator[str]:
@@ -77,12 +81,19 @@ def slices(text: str, size: int) -> Iterator[str]:
 
 def token_ids(text: str, config: PackConfig) -> np.ndarray:
     """The ids of a text, end id included."""
-    loaded, specials = tokenizer(config.tokenizer_path)
-    end = np.array([config.end_id], np.uint32)
-    if any(s in text for s in specials):
-        return np.concatenate([np.array(loaded.encode(text, add_special_tokens=False).ids, np.uint32), end])
+    special, names = special_ids(config.tokenizer_path)
     encode = encoding(config.ranks_path, config.pattern).encode_ordinary
-    return np.concatenate([*(np.array(encode(x), np.uint32) for x in slices(text, config.slice_chars)), end])
+    parts, at = [], 0
+
+    def plain(piece: str) -> None:
+        parts.extend(np.array(encode(x), np.uint32) for x in slices(piece, config.slice_chars))
+
+    for found in special.finditer(text) if special else ():
+        plain(text[at : found.start()])
+        parts.append(np.array([names[found[0]]], np.uint32))
+        at = found.end()
+    plain(text[at:])
+    return np.concatenate([*parts, np.array([config.end_id], np.uint32)])
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -124,17 +135,27 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[dict[int, int], int]
 
 
 def tokenized(docs: DataFrame, config: PackConfig) -> DataFrame:
-    """doc_id, ids: four bytes each, the low one first."""
+    """doc_id, ids (four bytes each, the low one first) and nth: rows equal in both are numbered within a task.
+
+    Which of equal rows gets which number doesn't matter, so a task that is run again deals alike."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in batches:
             for part in range(0, batch.num_rows, 1000):
                 some = batch.slice(part, 1000)
                 ids = [token_ids(text or "", config).astype("<u4").tobytes() for text in some.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                nth = []
+                for known, x in zip(some.column("doc_id").to_pylist(), ids):
+                    key = xxhash.xxh3_64_intdigest(x, seed=xxhash.xxh3_64_intdigest(repr(known)))
+                    nth.append(seen.get(key, 0))
+                    seen[key] = nth[-1] + 1
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), pa.array(ids, pa.binary()), pa.array(nth, pa.int64())], names=["doc_id", "ids", "nth"]
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary, nth long")
 
 
 def packed_pieces(docs: DataFrame, config: PackConfig | None = None) -> DataFrame:
@@ -144,7 +165,7 @@ def packed_pieces(docs: DataFrame, config: PackConfig | None = None) -> DataFram
     config = config or default_config()
     count, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // config.block_docs), -(-chars // config.block_chars))
-    block = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("doc_id", "ids", "nth"), F.lit(blocks))
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def pack(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
@@ -180,7 +201,7 @@ def packed_pieces(docs: DataFrame, config: PackConfig | None = None) -> DataFram
 
     kinds = {"doc_id": dict(docs.dtypes)["doc_id"], "ids": "binary"}
     schema = ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names)
-    return tokenized(docs, config).withColumn("block", block).groupBy("block").applyInArrow(pack, schema)
+    return tokenized(docs, config).select("doc_id", "ids", block.alias("block")).groupBy("block").applyInArrow(pack, schema)
 
 
 def pack_documents(docs: DataFrame, config: PackConfig | None = None) -> DataFrame:

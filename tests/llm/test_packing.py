@@ -97,3 +97,23 @@ def test_sequences_hold_the_ids_of_their_texts(spark, corpus, sf):
         assert (np.concatenate([texts[doc][s] for s in sorted(texts[doc])]) == token_ids(text, config)).all()
     crcs = {(r.doc_id, r.start): r.ids_crc32 for r in pack_documents(docs, config).collect()}
     assert crcs == {(r.doc_id, r.start): zlib.crc32(r.ids) for r in rows}
+
+
+def test_special_strings_have_the_tokenizers_ids():
+    config = default_config()
+    tokenizer = Tokenizer.from_file(config.tokenizer_path)
+    mark = "<|endoftext|>"
+    for text in (mark, mark * 3, f"a {mark}  b", f"x{mark}y {mark}", f"{mark} déjà vu {mark}\n\n{mark}", f"<|{mark}|>", "<|endoftext"):
+        assert token_ids(text, config).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_equal_rows_are_dealt_to_several_blocks(spark):
+    config = PackConfig(**{**vars(default_config()), "block_docs": 100})
+    rows = [(1, "the same words " * 20)] * 900 + [(2, "other")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), config).collect()
+    blocks = Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 901 and len(blocks) > 5 and max(blocks.values()) < 300
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 2048 for x in sequences.values())
