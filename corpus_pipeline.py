@@ -2,14 +2,20 @@
 
 Every stage takes all documents that the one before kept and returns the columns of documents (the last: pieces); run()
 writes each stage's rows as Parquet in the shared folder and reads them for the next, so that a lost executor costs no
-more than the stage at hand. Part of the llm package, but for its place.
+more than the stage at hand; what a stage wrote on its way is dropped then. Part of the llm package, but for its place.
+
+Edge cases, stage by stage: a null or empty text has no words, so the quality rules reject it; later stages take a null
+text for an empty one and leave it null. Rows with a null doc_id are documents like any other: near-dedup keeps them by
+their texts, mixing draws by their texts. Of repeated rows (equal doc_id and text) near-dedup keeps one. Ties go to the
+smallest doc_id. Texts are read whole, however long. An empty table goes through as an empty table. Further columns,
+whatever their names, stay up to the last stage, which returns pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragstone.llm.common import staged, table
+from ragstone.llm.common import settled, table
 from ragstone.llm.mixing import mix_sources
 from ragstone.llm.neardup import keep_one
 from ragstone.llm.packing import pack_documents
@@ -57,5 +63,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = settled(spark, lambda: stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
