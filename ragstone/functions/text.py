@@ -1,7 +1,10 @@
-"""Text functions as columns; Arrow UDFs only where Spark has no counterpart (NFKC, offset maps, LCS)."""
+"""Text functions as columns; Arrow UDFs only where Spark has no counterpart (NFKC, HTML entities, offset maps, LCS).
+
+Where an Arrow function is needed for some texts only, the others pass it as nulls and stay in the JVM."""
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from functools import reduce
@@ -25,18 +28,53 @@ FINITE_VERB = (
     r"select|selects|click|clicks|configure|configures|install|installs|create|creates|remove|removes|add|adds|enable|"
     r"enables|disable|disables|specify|specifies|enter|enters|type|types|returns?|requires?|allows?)\b|\b\w+(?:ed|ing)\b"
 )
+PASSAGE_MARKER = r"(?im)^\s*passage\s+(\d+)\s*:"
+CLAIM_WORD = r"\w+(?:[./:-]+\w+)*"
+IDENTIFIER = (
+    r"(?i)^(?:.*[_-].*|(?=.*[a-z])(?=.*\d)[a-z0-9./:-]+|[a-z0-9_/-]+(?:\.[a-z0-9_/-]+)+|v?\d+(?:\.\d+)+)$"
+)
+RESPONSE_ID = r"^[A-Za-z0-9_.:-]+$"
+TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
+#: White space as Unicode has it; the six ASCII characters alone are \\s.
+BLANK = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 #: Normalized text and, for each of its characters, where it starts and ends in the source.
 MAPPED = StructType(
     [StructField("text", StringType()), StructField("starts", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType()))]
 )
 
 
+#: Characters that NFKC leaves alone and whose case folding is their lower case, but for ß: ASCII, accented Latin letters,
+#: dashes and quotes. No combining marks, ligatures, width variants or other scripts.
+PLAIN = r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u2013\u2014\u2018-\u201E\u2022"
+
+
+@F.pandas_udf(StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(StringType())
+def _nfkc_casefold(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def _where_needed(function, text: Column, pattern: str, otherwise: Column) -> Column:
+    """function(text) for texts with the pattern, `otherwise` for all others; those reach the function as nulls."""
+    return F.coalesce(function(F.when(text.rlike(pattern), text)), otherwise)
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, as Unicode defines it."""
+    return _where_needed(_nfkc, text, f"[^{PLAIN}]", text)
+
+
 def folded(text: Column) -> Column:
-    """Case folding for the letters that lower() misses here."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """NFKC and full case folding."""
+    return _where_needed(_nfkc_casefold, text, f"[^{PLAIN}]", F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def tokens(text: Column) -> Column:
@@ -49,16 +87,36 @@ def ascii_tokens(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{BLANK}+", " "))
 
 
 def normalized_corpus_text(text: Column) -> Column:
-    """Line ends to LF, embedded data URIs to a space, white space collapsed. NFKC: see nfkc()."""
-    return collapsed(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), DATA_URI, " "))
+    """Line ends to LF, NFKC, embedded data URIs to a space, white space collapsed."""
+    return collapsed(F.regexp_replace(nfkc(F.regexp_replace(text, r"\r\n?", "\n")), DATA_URI, " "))
+
+
+def normalized_generated_text(text: Column) -> Column:
+    """NFKC, white space collapsed."""
+    return collapsed(nfkc(text))
+
+
+def provenance(question_id: Column) -> Column:
+    """What stands before the first `_Q` of an id."""
+    return F.split(question_id, "_Q")[0]
+
+
+def is_timestamp(text: Column) -> Column:
+    """Whether the whole text is an ISO timestamp with a zone that exists; null is not one."""
+    return F.coalesce(text.rlike(TIMESTAMP) & F.try_to_timestamp(text).isNotNull(), F.lit(False))
+
+
+def is_identifier(text: Column) -> Column:
+    """Whether the whole text is an id of letters, digits and _ . : -; null is not one."""
+    return F.coalesce(text.rlike(RESPONSE_ID), F.lit(False))
 
 
 def placeholder_count(text: Column) -> Column:
@@ -80,9 +138,17 @@ def cleaned_document(text: Column) -> Column:
     return collapsed(F.regexp_replace(F.array_join(lines, "\n"), BASE64_RUN, " "))
 
 
+@F.pandas_udf(StringType())
+def _unescape(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else html.unescape(t))
+
+
 def unescaped(text: Column) -> Column:
-    """The named entities that occur in practice; &amp; last, so that nothing is unescaped twice."""
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+    """All HTML entities, named and numeric; those that occur most stay in the JVM, &amp; last, so that nothing is
+    unescaped twice."""
+    common = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), text)
+    named = "|".join(e.strip("&;") for e in ENTITIES if e != "&#39;")
+    return _where_needed(_unescape, text, rf"&(?!(?:{named}|#39);)[#A-Za-z]", common)
 
 
 def without_markup(html: Column) -> Column:
@@ -98,7 +164,7 @@ def sentences(text: Column) -> Column:
 
 def reference_claims(answer: Column) -> Column:
     """Sentences of a reference answer; a sentence splits at semicolons only if every part could stand alone."""
-    words = lambda x: F.regexp_count(x, F.lit(r"\w+(?:[./:-]+\w+)*"))
+    words = lambda x: F.regexp_count(x, F.lit(CLAIM_WORD))
     parts = lambda s: F.filter(F.transform(F.split(s, ";"), lambda p: F.trim(p)), lambda p: p != "")
     alone = lambda p: F.forall(p, lambda x: (words(x) >= 4) & x.rlike(FINITE_VERB))
     split = F.transform(
@@ -110,12 +176,19 @@ def reference_claims(answer: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """Array of (number, text) from `passage N:` markers at line starts; no marker: one passage."""
-    marker = r"(?im)^\s*passage\s+(\d+)\s*:"
-    numbers = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
-    bodies = F.slice(F.split(text, marker), F.lit(2), F.greatest(F.size(numbers), F.lit(0)))
+    """Array of (number, text) from `passage N:` markers at line starts, by number; no marker: one passage. Empty passages
+    are left out, so an empty text has none."""
+    numbers = F.regexp_extract_all(text, F.lit(PASSAGE_MARKER), F.lit(1))
+    bodies = F.slice(F.split(text, PASSAGE_MARKER), F.lit(2), F.greatest(F.size(numbers), F.lit(0)))
     marked = F.zip_with(numbers, bodies, lambda n, b: F.struct(n.cast("int").alias("number"), stripped(b).alias("text")))
-    return F.when(F.size(numbers) > 0, marked).otherwise(F.array(F.struct(F.lit(1).alias("number"), stripped(text).alias("text"))))
+    alone = F.array(F.struct(F.lit(1).alias("number"), stripped(text).alias("text")))
+    found = F.filter(F.when(F.size(numbers) > 0, marked).otherwise(alone), lambda p: p["text"] != "")
+    # Stable: passages of one number stay in the order of the source.
+    placed = F.sort_array(F.transform(found, lambda p, i: F.struct(p["number"].alias("number"), i.alias("i"), p["text"].alias("text"))))
+    return F.coalesce(
+        F.transform(placed, lambda p: F.struct(p["number"].alias("number"), p["text"].alias("text"))),
+        F.array().cast("array<struct<number:int,text:string>>"),
+    )
 
 
 def segmented_claims(response: Column) -> Column:
@@ -145,8 +218,8 @@ def _claim(at: Column, piece: Column) -> Column:
 
 
 def identifier_like(token: Column) -> Column:
-    """Tokens that look like a version, a code or a path: digits next to letters, or inner separators with a digit."""
-    return (token.rlike(r"[0-9]") & token.rlike(r"\p{L}")) | token.rlike(r"^[0-9]+(?:[./:-][0-9]+)+$") | token.rlike(r"_")
+    """Tokens that look like a version, a code, a path or a compound."""
+    return token.rlike(f"(?U){IDENTIFIER}")
 
 
 def judge_score(raw: Column) -> Column:
@@ -157,36 +230,35 @@ def judge_score(raw: Column) -> Column:
     return F.coalesce(*[F.when(x != "", x.cast("int")) for x in found], graded)
 
 
-@F.pandas_udf(StringType())
-def nfkc_casefold(text: pd.Series) -> pd.Series:
-    """Full Unicode normalization, for texts outside what folded() covers."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()))
-
-
 @F.pandas_udf(MAPPED)
 def mapped_alignment_text(text: pd.Series) -> pd.DataFrame:
     """Normalized text whose every character knows where it came from: entities, NFKC and case by cluster, punctuation
     to spaces, runs of white space to one."""
-    rows = [_mapped(t or "") for t in text]
+    rows = [mapped_text(t or "") for t in text]
     return pd.DataFrame(rows, columns=["text", "starts", "ends"])
 
 
-_ENTITY = re.compile("|".join(ENTITIES))
+_ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?")
 
 
-def _mapped(text: str) -> tuple[str, list[int], list[int]]:
+def mapped_text(text: str) -> tuple[str, list[int], list[int]]:
+    """The normalized text, and where each of its characters starts and ends in the source."""
     units, at = [], 0
     while at < len(text):
-        entity = _ENTITY.match(text, at)
-        stop = entity.end() if entity else at + 1
-        if not entity:
+        entity = _ENTITY.match(text, at) if text[at] == "&" else None
+        raw = html.unescape(entity[0]) if entity else ""
+        if entity and raw != entity[0]:
+            stop = entity.end()
+        else:
+            stop = at + 1
             while stop < len(text) and unicodedata.combining(text[stop]):
                 stop += 1
-        units.append((ENTITIES[entity[0]] if entity else text[at:stop], at, stop))
+            raw = text[at:stop]
+        units.append((raw, at, stop))
         at = stop
     out: list[tuple[str, int, int]] = []
     for raw, start, stop in units:
-        for c in unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", raw).casefold()):
+        for c in raw.lower() if raw.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", raw).casefold()):
             c = " " if c.isspace() or unicodedata.category(c).startswith("P") else c
             if c == " " and (not out or out[-1][0] == " "):
                 if out:

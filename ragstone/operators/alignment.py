@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragstone.functions.text import collapsed
+from ragstone.functions.text import collapsed, mapped_text
 
-SEED_WORDS = 3
+#: Characters of the needles that are looked for in one pass.
+BLOCK_CHARS = 1 << 25
 
 
 def word_chunks(docs: DataFrame, key: str, window: int = 360, step: int = 280) -> DataFrame:
@@ -62,33 +66,93 @@ def offset_chunks(docs: DataFrame, key: str, window: int = 224, step: int = 176)
     )
 
 
-def exact_spans(docs: DataFrame, needles: DataFrame) -> DataFrame:
-    """item_id, doc_id, char_start, char_end: where a needle first occurs verbatim in a document.
-
-    A substring test against every document is a nested loop. Instead the needle's second to fourth word, which lie
-    inside it and so are whole words of any text that holds it, meet the documents' runs of three words by equality, and
-    only those pairs are tested. Needles of under five words are few and are tested against all documents."""
-    gap = r"\s+"
-    long_enough = F.size(F.split("needle", gap)) >= SEED_WORDS + 2
+def _needle_blocks(needles: DataFrame) -> list[pa.Table]:
+    """item_id, needle: the needles in blocks of about BLOCK_CHARS characters, by a hash of their id."""
     asked = needles.select("item_id", F.col("text").alias("needle")).filter("needle <> ''")
-    seeded = asked.filter(long_enough).withColumn(
-        "seed", F.array_join(F.slice(F.split("needle", gap), 2, SEED_WORDS), " ")
+    chars = asked.agg(F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()[0]
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    return [asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow() for i in range(blocks)]
+
+
+def _found_in(docs: DataFrame, needles: pa.Table, normalized: bool) -> DataFrame:
+    """item_id, doc_id, nth, char_start, char_end for every occurrence, overlapping ones too, of a block of needles.
+
+    All needles of a block are looked for in one pass over each text by an automaton. Normalized ones are looked for in
+    the normalized text, and their places are mapped back to the source only for texts that hold one."""
+    forms: dict[str, list] = {}
+    for item, needle in zip(needles.column("item_id").to_pylist(), needles.column("needle").to_pylist()):
+        form = mapped_text(needle)[0] if normalized else needle
+        if form:
+            forms.setdefault(form, []).append(item)
+    kind = needles.schema.field("item_id").type
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for form, items in forms.items():
+            automaton.add_word(form, (len(form), items))
+        if forms:
+            automaton.make_automaton()
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if not text or not forms:
+                    continue
+                shape, starts, ends = mapped_text(text) if normalized else (text, None, None)
+                count: dict = {}
+                for end, (size, items) in automaton.iter(shape):
+                    first = end - size + 1
+                    place = (starts[first], ends[end]) if normalized else (first, end + 1)
+                    for item in items:
+                        count[item] = count.get(item, 0) + 1
+                        rows.append((item, doc, count[item], *place))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (kind, batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item_id", "doc_id", "nth", "char_start", "char_end"])
+
+    ids = pa_type_name(kind)
+    return docs.select("doc_id", "text").mapInArrow(
+        find, f"item_id {ids}, doc_id {dict(docs.dtypes)['doc_id']}, nth int, char_start int, char_end int"
     )
-    wanted = seeded.select("seed").distinct()
-    # The words are bound once: inside the lambda the split itself would run again for every word.
-    run = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(SEED_WORDS)])
-    runs_of = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - SEED_WORDS), lambda i: run(w, i))
-    bound = F.element_at(F.transform(F.array(F.split("text", gap)), lambda w: F.when(F.size(w) >= SEED_WORDS, runs_of(w))), 1)
-    runs = docs.select("doc_id", F.explode(F.array_distinct(bound)).alias("seed")).join(wanted, "seed", "left_semi")
-    near = runs.join(seeded, "seed").join(docs.select("doc_id", "text"), "doc_id")
-    rest = asked.filter(~long_enough).crossJoin(docs.select("doc_id", "text"))
-    place = F.instr(F.col("text"), F.col("needle"))
-    both = near.select("item_id", "doc_id", "needle", "text").unionByName(rest.select("item_id", "doc_id", "needle", "text"))
-    return (
-        both.withColumn("at", place)
-        .filter("at > 0")
-        .select("item_id", "doc_id", (F.col("at") - 1).alias("char_start"), (F.col("at") - 1 + F.length("needle")).alias("char_end"))
+
+
+def pa_type_name(kind: pa.DataType) -> str:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(kind).simpleString()
+
+
+def all_spans(docs: DataFrame, needles: DataFrame, normalized: bool = False) -> DataFrame:
+    """item_id, doc_id, nth, char_start, char_end: every place of every needle; one scan of the texts per block of needles."""
+    found = [_found_in(docs, block, normalized) for block in _needle_blocks(needles)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def exact_spans(docs: DataFrame, needles: DataFrame) -> DataFrame:
+    """item_id, doc_id, char_start, char_end: where a needle first occurs verbatim in a document."""
+    return all_spans(docs, needles).filter("nth = 1").drop("nth")
+
+
+def aligned_evidence(docs: DataFrame, needles: DataFrame) -> DataFrame:
+    """item_id, doc_id, method, nth, char_start, char_end, reason: all places of each needle in each document.
+
+    A document that holds the needle verbatim gives its exact places, another that holds it after normalization (entities,
+    NFKC, case, punctuation, white space; accents stay) those of its source characters. A needle without any place has one
+    row without a document, with the reason: `empty` or `not_found`."""
+    exact = all_spans(docs, needles).withColumn("method", F.lit("exact"))
+    loose = all_spans(docs, needles, normalized=True).withColumn("method", F.lit("normalized"))
+    places = exact.unionByName(loose.join(exact.select("item_id", "doc_id").distinct(), ["item_id", "doc_id"], "left_anti"))
+    blank = F.coalesce(F.length(F.regexp_replace("text", r"[\s\p{P}]", "")), F.lit(0)) == 0
+    rest = (
+        needles.select("item_id", F.when(blank, "empty").otherwise("not_found").alias("reason"))
+        .join(places.select("item_id").distinct(), "item_id", "left_anti")
+        .withColumn("method", F.lit("unresolved"))
     )
+    return places.unionByName(rest, allowMissingColumns=True).select("item_id", "doc_id", "method", "nth", "char_start", "char_end", "reason")
 
 
 def occurrences(text: Column, needle: Column) -> Column:
@@ -137,12 +201,12 @@ def span_coverage(spans: DataFrame, intervals: DataFrame, span_key: list[str], j
     )
 
 
-def first_covering_rank(hits: DataFrame, spans: DataFrame, group: str, deepest: int) -> DataFrame:
+def prefix_coverage(hits: DataFrame, spans: DataFrame, group: str, depths: tuple[int, ...]) -> DataFrame:
     """group, k, coverage: the best coverage of any of the group's spans by the chunks of its first k hits.
 
     hits: group, rank, doc_id, start, end; spans: group, doc_id, span_start, span_end. Each prefix is merged apart, as a
     span may be covered by several chunks together."""
-    ks = hits.sparkSession.range(1, deepest + 1).select(F.col("id").cast("int").alias("k"))
+    ks = hits.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in depths])).alias("k"))
     prefix = hits.crossJoin(F.broadcast(ks)).filter("rank <= k").select(group, "k", "doc_id", "start", "end")
     cover = merged_intervals(prefix, [group, "k", "doc_id"])
     asked = spans.crossJoin(F.broadcast(ks)).select(group, "k", "doc_id", F.col("span_start").alias("start"), F.col("span_end").alias("end"))

@@ -93,17 +93,20 @@ def agreement(first: Column, second: Column) -> list[Column]:
 
 
 def query_features(text: Column, terms: Column) -> list[Column]:
+    """Length, terms, distinct terms, terms of digits alone and terms like identifiers, with their shares (0 without terms)."""
     n = F.size(terms)
     like = F.size(F.filter(terms, identifier_like))
-    digits = F.size(F.filter(terms, lambda t: t.rlike("[0-9]")))
+    digits = F.size(F.filter(terms, lambda t: t.rlike(r"^\p{Nd}+$")))
+    unique = F.size(F.array_distinct(terms))
     share = lambda c: F.coalesce(ratio(c, n), F.lit(0.0))
     return [
         F.length(text).alias("chars"),
         n.alias("terms"),
-        F.size(F.array_distinct(terms)).alias("unique_terms"),
+        unique.alias("unique_terms"),
+        share(unique).alias("unique_share"),
         digits.alias("digit_terms"),
-        like.alias("identifier_terms"),
         share(digits).alias("digit_share"),
+        like.alias("identifier_terms"),
         share(like).alias("identifier_share"),
     ]
 

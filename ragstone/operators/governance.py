@@ -68,14 +68,14 @@ def canonical_line(df: DataFrame) -> Column:
 def table_hash(df: DataFrame) -> DataFrame:
     """rows, sha256: a hash of the multiset of rows that doesn't hang on order or partitions.
 
-    Rows are hashed, the hashes are gathered by their first three digits, each group is hashed in order and so are the
-    at most 4096 group hashes: nothing unbounded meets in one task for a table of any size with distinct rows."""
-    lines = df.select(F.sha2(canonical_line(df), 256).alias("h"))
-    groups = lines.groupBy(F.substring("h", 1, 3).alias("g")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n")
-    )
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "\n")
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(ordered, 256).alias("sha256"))
+    Rows are hashed and 240 bits of their hashes are added up as four numbers, combined in every task before the shuffle:
+    one row comes out of each, however large the table. Such a sum tells tables apart that differ by chance or mistake; it
+    isn't made to withstand rows that someone constructs to collide."""
+    line = F.sha2(canonical_line(df), 256)
+    parts = [F.sum(F.conv(F.substring(line, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
+    summed = df.agg(F.count(F.lit(1)).alias("rows"), *parts)
+    text = F.concat_ws(":", F.col("rows").cast("string"), *[F.coalesce(F.col(f"p{i}"), F.lit(0)).cast("string") for i in range(4)])
+    return summed.select("rows", F.sha2(text, 256).alias("sha256"))
 
 
 def null_manifest(df: DataFrame) -> DataFrame:
@@ -125,9 +125,12 @@ def cache_key(kind: str, inputs: dict) -> str:
 
 
 def blinded_pack(sample: DataFrame, key: str, shown: list[str], hidden: list[str], seed: str) -> tuple[DataFrame, DataFrame]:
-    """(what annotators see, the answer key): ids are hashes, and their order says nothing of the strata."""
-    tagged = sample.withColumn("sample_id", F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256))
-    return tagged.select("sample_id", *shown), tagged.select("sample_id", key, *hidden)
+    """(what annotators see, the answer key), for a sample of bounded size: ids are hashes, and `place` numbers the rows in
+    the order of another hash, which says nothing of the strata."""
+    digest = lambda *parts: F.sha2(F.concat_ws("|", F.lit(seed), *parts, F.col(key).cast("string")), 256)
+    place = F.row_number().over(Window.orderBy(digest(F.lit("order")))).cast("long")
+    tagged = sample.withColumns({"sample_id": digest(), "place": place})
+    return tagged.select("sample_id", "place", *shown), tagged.select("sample_id", key, *hidden)
 
 
 def scalar_reject(columns: Iterable[str], forbidden: Iterable[str]) -> None:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from collections import Counter
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import tokens
-from ragstone.functions.vectors import dot
+from ragstone.session import shared_folder
+
+from .governance import cache_key
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_CONSTANT = 60
@@ -19,6 +25,8 @@ DEPTHS = (1, 3, 5, 10)
 MOST_QUERY_POSTINGS = 1_000_000
 #: Documents and cells (documents x terms, documents x questions) of a block.
 BLOCK_DOCS, BLOCK_CELLS = 1024, 4_000_000
+#: Numbers of the vectors that ask in one pass over the corpus, and similarities that a worker holds at once.
+PASS_NUMBERS, PASS_CELLS = 16_000_000, 4_000_000
 
 
 def tokenized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -31,13 +39,33 @@ def term_frequencies(tokened: DataFrame, key: str) -> DataFrame:
     return tokened.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def idf_table(tokened: DataFrame) -> DataFrame:
+def term_lists(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, length, terms (distinct, in order of their first place), tfs: one row a document, made in one scan."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, terms, tfs = [], [], []
+            for own in batch.column("tokens").to_pylist():
+                counted = Counter(own or ())
+                lengths.append(len(own or ()))
+                terms.append(list(counted))
+                tfs.append(list(counted.values()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))],
+                names=[key, "length", "terms", "tfs"],
+            )
+
+    named = docs.select(key, tokens(F.col(text)).alias("tokens"))
+    return named.mapInArrow(count, f"{key} {dict(docs.dtypes)[key]}, length int, terms array<string>, tfs array<int>")
+
+
+def idf_table(listed: DataFrame, terms: str = "terms") -> DataFrame:
     """term, df, idf: Okapi with negative values raised to a share of the mean over the vocabulary.
 
-    Distinct terms are taken inside each row, so the shuffle carries one row per term and task. The corpus figures are
-    one row each."""
-    frequency = tokened.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = tokened.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    listed: a row per document with its distinct terms, so the shuffle carries one row per term and task. The corpus
+    figures are one row each."""
+    frequency = listed.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    corpus = listed.agg(F.count(F.lit(1)).cast("double").alias("n"))
     raw = frequency.crossJoin(F.broadcast(corpus)).withColumn(
         "raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     )
@@ -46,95 +74,129 @@ def idf_table(tokened: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A written index: documents (key, length, terms, tfs), vocabulary (term, df, idf), corpus (one row: n, average)."""
+
+    key: str
+    documents: DataFrame
+    vocabulary: DataFrame
+    corpus: DataFrame
+
+
+def index_of(docs: DataFrame, key: str, text: str = "text") -> Index:
+    """The index as a plan, for tables that aren't files."""
+    listed = term_lists(docs, key, text)
+    corpus = listed.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("length").cast("double")).alias("average"))
+    return Index(key, listed, idf_table(listed), corpus)
+
+
+def bm25_index(docs: DataFrame, key: str, text: str = "text") -> Index:
+    """The index of a table of files, made once: texts are tokenized in one scan, all else is read from the written lists.
+
+    It stands in the shared folder under a name made of the files' names, sizes and times, so a later query, or another
+    application on the same cluster, finds it there, and changed files make another one."""
+    spark = docs.sparkSession
+    files = docs.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("at"))
+    named = sorted(map(list, files.distinct().collect()))
+    place = f"{shared_folder(spark)}/bm25-{cache_key('bm25', {'key': key, 'text': text, 'files': named})}"
+    parts = {name: f"{place}/{name}" for name in ("documents", "vocabulary", "corpus")}
+
+    def written(name: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{parts[name]}/_SUCCESS")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        if not written(name):
+            df.write.mode("overwrite").parquet(parts[name])
+        return spark.read.schema(df.schema).parquet(parts[name])
+
+    listed = write(index_of(docs, key, text).documents, "documents")
+    corpus = listed.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("length").cast("double")).alias("average"))
+    return Index(key, listed, write(idf_table(listed), "vocabulary"), write(corpus, "corpus"))
+
+
 def oov_idf(n: Column) -> Column:
     """The idf of a term in no document."""
     return F.log((n + 0.5) / 0.5)
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame, key: str, question: str) -> DataFrame:
-    """question, key, score for documents that share a term with the question.
-
-    Only postings of terms that some question has are made: the question terms are joined before tf is counted. A term
-    that a question repeats counts as often."""
-    tokened = tokenized(docs, key)
-    asked = (
+def asked_terms(questions: DataFrame, question: str) -> DataFrame:
+    """question, term, qtf."""
+    return (
         tokenized(questions, question)
         .select(question, F.explode("tokens").alias("term"))
         .groupBy(question, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
-    wanted = asked.select("term").distinct()
-    idf = idf_table(tokened).join(wanted, "term", "left_semi").select("term", "idf")
-    average = tokened.agg(F.avg(F.col("length").cast("double")).alias("average"))
-    postings = (
-        tokened.select(key, "length", F.explode("tokens").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy(key, "length", "term")
-        .agg(F.count(F.lit(1)).cast("double").alias("tf"))
+
+
+def bm25_scores(index: Index, questions: DataFrame, question: str) -> DataFrame:
+    """question, key, score for documents that share a term with the question, by joins.
+
+    Only postings of terms that some question has are spread. A term that a question repeats counts as often."""
+    asked = asked_terms(questions, question).join(index.vocabulary.select("term", "idf"), "term")
+    pairs = F.explode(F.arrays_zip("terms", "tfs"))
+    postings = index.documents.select(index.key, "length", pairs.alias("p")).select(
+        index.key, "length", F.col("p.terms").alias("term"), F.col("p.tfs").cast("double").alias("tf")
     )
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return (
-        postings.join(idf, "term")
-        .crossJoin(F.broadcast(average))
-        .select(key, "term", (F.col("idf") * saturated).alias("part"))
+        postings.join(asked.select("term").distinct(), "term", "left_semi")
+        .crossJoin(F.broadcast(index.corpus.select("average")))
+        .select(index.key, "term", saturated.alias("part"))
         .join(asked, "term")
-        .groupBy(question, key)
-        .agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
+        .groupBy(question, index.key)
+        .agg(F.sum(F.col("part") * F.col("idf") * F.col("qtf")).alias("score"))
     )
 
 
-def bm25_candidates(docs: DataFrame, questions: DataFrame, key: str, question: str, k: int) -> DataFrame:
+def bm25_candidates(index: Index, questions: DataFrame, question: str, k: int) -> DataFrame:
     """question, key, score: enough of bm25_scores() to hold every question's k best, and all scores of the first k keys.
 
     With few queries their weights are a small matrix. Each task multiplies blocks of its documents' term weights with
-    it and keeps the k best of a block and those that tie with them, so what is shuffled is k rows per block and question
-    instead of a row per shared term. The number of query postings is counted first; with too many, or with questions
-    that a block can't hold, scores come from bm25_scores()."""
-    asked = (
-        tokenized(questions, question)
-        .select(question, F.explode("tokens").alias("term"))
-        .groupBy(question, "term")
-        .agg(F.count(F.lit(1)).alias("qtf"))
-    )
+    it and keeps the k best of a block and those that come within a rounding of them, so what is shuffled is about k rows
+    per block and question instead of a row per shared term. The number of query postings is counted first; with too
+    many, or with questions that a block can't hold, scores come from bm25_scores()."""
+    key = index.key
+    asked = asked_terms(questions, question).join(index.vocabulary.select("term", "idf"), "term")
     postings = asked.limit(MOST_QUERY_POSTINGS + 1).toArrow()
-    names = sorted(set(postings.column(question).to_pylist()))
-    if postings.num_rows > MOST_QUERY_POSTINGS or len(names) > BLOCK_CELLS // 16:
-        return bm25_scores(docs, questions, key, question)
-    tokened = tokenized(docs, key)
-    wanted = asked.select("term").distinct()
-    idf = {r["term"]: r["idf"] for r in idf_table(tokened).join(wanted, "term", "left_semi").select("term", "idf").collect()}
-    average = tokened.agg(F.avg(F.col("length").cast("double"))).first()[0]
-    first = {r[0] for r in docs.select(key).orderBy(key).limit(k).collect()}
-    place, where = {t: i for i, t in enumerate(sorted(idf))}, {q: i for i, q in enumerate(names)}
-    rows = [x for x in zip(*(postings.column(c).to_pylist() for c in (question, "term", "qtf"))) if x[1] in place]
-    asks = np.array([where[q] for q, _, _ in rows], np.int64)
-    terms = np.array([place[t] for _, t, _ in rows], np.int64)
-    weights = np.array([n * idf[t] for _, t, n in rows])
+    names, wanted = sorted(set(postings.column(question).to_pylist())), sorted(set(postings.column("term").to_pylist()))
+    if postings.num_rows > MOST_QUERY_POSTINGS or len(wanted) * len(names) > BLOCK_CELLS:
+        return bm25_scores(index, questions, question)
+    average = index.corpus.first()["average"]
+    first = {r[0] for r in index.documents.select(key).orderBy(key).limit(k).collect()}
+    place, where = {t: i for i, t in enumerate(wanted)}, {q: i for i, q in enumerate(names)}
+    asks = np.array([where[q] for q in postings.column(question).to_pylist()], np.int64)
+    terms = np.array([place[t] for t in postings.column("term").to_pylist()], np.int64)
+    weights = postings.column("qtf").to_numpy() * postings.column("idf").to_numpy()
     size = max(1, min(BLOCK_DOCS, BLOCK_CELLS // max(1, len(place), len(names))))
-    if len(place) * len(names) > BLOCK_CELLS:
-        return bm25_scores(docs, questions, key, question)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_of = np.zeros((len(place), len(names)))
         asked_of[terms, asks] = weights
-        touched = (asked_of != 0).astype(np.float32)
-        touched[terms, asks] = 1
+        touched = None
+        if not (weights > 0).all():  # a shared term may then add nothing to a score
+            touched = np.zeros(asked_of.shape, np.float32)
+            touched[terms, asks] = 1
+        known = pa.array(wanted, pa.string())
         for batch in batches:
             for start in range(0, batch.num_rows, size):
                 block = batch.slice(start, size)
-                keys = block.column(key).to_pylist()
-                tf = np.zeros((len(keys), len(place)))
-                lengths = np.zeros(len(keys))
-                for i, own in enumerate(block.column("tokens").to_pylist()):
-                    lengths[i] = len(own or ())
-                    at = [place[t] for t in own or () if t in place]
-                    np.add.at(tf[i], at, 1)
+                lists = block.column("terms")
+                found = pc.index_in(lists.flatten(), value_set=known)
+                there = pc.is_valid(found).to_numpy(zero_copy_only=False)
+                doc = pc.list_parent_indices(lists).to_numpy()[there]
+                at = found.drop_null().to_numpy()
+                tf = np.zeros((block.num_rows, len(place)))
+                tf[doc, at] = block.column("tfs").flatten().to_numpy()[there]
+                lengths = block.column("length").to_numpy()
                 saturated = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[:, None])
-                scores = np.round(saturated @ asked_of, 6)
-                shared = (tf > 0).astype(np.float32) @ touched > 0
+                scores = saturated @ asked_of
+                shared = scores > 0 if touched is None else (tf > 0).astype(np.float32) @ touched > 0
                 ordered = np.where(shared, scores, -np.inf)
-                least = np.partition(ordered, -min(k, len(keys)), axis=0)[-min(k, len(keys))]
-                early = np.array([x in first for x in keys])
+                least = np.partition(ordered, -min(k, block.num_rows), axis=0)[-min(k, block.num_rows)] - 2e-6
+                early = np.array([x in first for x in block.column(key).to_pylist()])
                 doc, asks_ = np.nonzero(shared & ((ordered >= least) | early[:, None]))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,8 +207,8 @@ def bm25_candidates(docs: DataFrame, questions: DataFrame, key: str, question: s
                     names=[question, key, "score"],
                 )
 
-    kind = dict(docs.dtypes)[key]
-    return tokened.select(key, "tokens").mapInArrow(score, f"{question} {dict(questions.dtypes)[question]}, {key} {kind}, score double")
+    kind = dict(index.documents.dtypes)[key]
+    return index.documents.mapInArrow(score, f"{question} {dict(questions.dtypes)[question]}, {key} {kind}, score double")
 
 
 def ranked(scores: DataFrame, group: str | list[str], key: str, k: int, score: str = "score", digits: int = 6) -> DataFrame:
@@ -170,11 +232,55 @@ def padded_top_k(scores: DataFrame, docs: DataFrame, questions: DataFrame, quest
 
 
 def exact_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank by dot product; the query side is small by contract and is what Spark replicates."""
-    pairs = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")).crossJoin(
-        corpus.select("vec_id", "embedding")
-    )
-    return ranked(pairs.select("query_id", "vec_id", dot(F.col("asked"), F.col("embedding")).alias("score")), "query_id", "vec_id", k)
+    """query_id, vec_id, score, rank by dot product; vectors that are null, or of another length than those that ask, are
+    in no result.
+
+    Every pass over the corpus multiplies its batches with at most PASS_NUMBERS numbers of queries, which travel with the
+    function, and keeps the k best of a batch and those within a rounding of them, so k rows per batch and query are
+    shuffled. Queries beyond a pass go into further passes by a hash of their id."""
+    asked = queries.filter("embedding is not null").select("vec_id", "embedding")
+    numbers, longest = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)), F.max(F.size("embedding"))).first()
+    passes = max(1, -(-numbers // PASS_NUMBERS))
+    found = [_searched(asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i), corpus, k) for i in range(passes)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return ranked(every, "query_id", "vec_id", k)
+
+
+def _searched(asked: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    rows = asked.toArrow()
+    by_size: dict[int, tuple[list, np.ndarray]] = {}
+    vectors = [np.array(x, np.float64) for x in rows.column("embedding").to_pylist()]
+    for n in sorted({len(v) for v in vectors}):
+        own = [i for i, v in enumerate(vectors) if len(v) == n]
+        by_size[n] = (rows.column("vec_id").take(pa.array(own)).to_pylist(), np.array([vectors[i] for i in own]).T.reshape(n, len(own)))
+    kind = rows.schema.field("vec_id").type
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, PASS_CELLS // max(1, rows.num_rows))
+            for start in range(0, batch.num_rows, step):
+                block = batch.slice(start, step)
+                sizes = pc.fill_null(pc.list_value_length(block.column("embedding")), -1).to_numpy()
+                for n, (names, matrix) in by_size.items():
+                    at = np.flatnonzero(sizes == n)
+                    if not len(at):
+                        continue
+                    flat = block.column("embedding").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    scores = flat.reshape(len(at), n) @ matrix
+                    ordered = np.where(np.isnan(scores), -np.inf, scores)
+                    place = min(k, len(at))
+                    least = np.partition(ordered, -place, axis=0)[-place] - 2e-6
+                    row, query = np.nonzero((ordered >= least) & ~np.isnan(scores))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[j] for j in query], kind), block.column("vec_id").take(pa.array(at[row])), pa.array(scores[row, query], pa.float64())],
+                        names=["query_id", "vec_id", "score"],
+                    )
+
+    ids = dict(asked.dtypes)["vec_id"]
+    schema = f"query_id {ids}, vec_id {dict(corpus.dtypes)['vec_id']}, score double"
+    return corpus.select("vec_id", "embedding").mapInArrow(search, schema)
 
 
 def fused(first: DataFrame, second: DataFrame, group: str, key: str, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ragstone.functions.text import cleaned_document, normalized_corpus_text, passages, reference_claims, segmented_claims
 from ragstone.operators import alignment as A
+from ragstone.operators.retrieval import DEPTHS
 
 from .fixtures import table
 from .registry import query
@@ -20,7 +21,7 @@ starts AS (SELECT doc_id, size, unnest(range(0, CAST(greatest(0, ceil(CAST(size
 chunks AS (SELECT s.doc_id, CAST(s.at // 176 AS INTEGER) AS chunk_index, CAST(a.e - a.n AS INTEGER) AS char_start, CAST(z.e AS INTEGER) AS char_end, a.text
   FROM starts s JOIN ends a ON a.doc_id = s.doc_id AND a.i = s.at + 1 JOIN ends z ON z.doc_id = s.doc_id AND z.i = least(s.at + 224, s.size))"""
 CHUNK_HITS = """, chunk_hits AS (
-  SELECT h.item_id, h.rank, c.doc_id, c.char_start AS cs, c.char_end AS ce FROM hits h JOIN chunks c ON c.doc_id = h.doc_id WHERE c.chunk_index % 2 = 0),
+  SELECT h.item_id, h.rank, c.doc_id, c.char_start AS cs, c.char_end AS ce FROM hits h JOIN chunks c ON c.doc_id = h.doc_id),
 ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
 prefix AS (SELECT item_id, k, doc_id, cs, ce FROM chunk_hits, ks WHERE rank <= k),
 marked AS (SELECT *, CASE WHEN cs > coalesce(max(ce) OVER (PARTITION BY item_id, k, doc_id ORDER BY cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS fresh FROM prefix),
@@ -40,13 +41,12 @@ def spans(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    """item_id, k, impossible, coverage, right_document for every benchmark item; odd chunks are left out, so that spans
-    can be covered in part."""
+    """item_id, k, impossible, coverage, right_document for every benchmark item, from all chunks of the documents hit."""
     hits, found = bm25_hits(spark, sf_dir), spans(spark, sf_dir)
-    chunks = A.offset_chunks(documents(spark, sf_dir), "doc_id").filter("chunk_index % 2 = 0")
+    chunks = A.offset_chunks(documents(spark, sf_dir).join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     placed = hits.join(chunks, "doc_id").select("item_id", "rank", "doc_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
     wanted = found.select("item_id", "doc_id", F.col("char_start").alias("span_start"), F.col("char_end").alias("span_end"))
-    best = A.first_covering_rank(placed, wanted, "item_id", 10).filter(F.col("k").isin(1, 3, 5, 10))
+    best = A.prefix_coverage(placed, wanted, "item_id", DEPTHS)
     ks = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 10)])).alias("k"))
     right = hits.join(found.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_semi").groupBy("item_id").agg(F.min("rank").alias("first"))
     known = found.select("item_id", F.lit(True).alias("known")).distinct()
@@ -114,6 +114,21 @@ def alignment_feasibility(spark, sf_dir):
     )
 
 
+@query()
+def evidence_alignment(spark, sf_dir):
+    """All places of the benchmark texts in the documents, exact or after normalization, and the texts without any."""
+    return A.aligned_evidence(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query(f"WITH {PIECES}, n AS (SELECT doc_id, char_end - char_start AS size FROM chunks) SELECT CAST(count(*) AS BIGINT) AS chunks, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(min(size) AS INTEGER) AS minimum, round(avg(size), 6) AS mean, CAST(max(size) AS INTEGER) AS maximum FROM n")
+def chunk_statistics(spark, sf_dir):
+    size = F.col("char_end") - F.col("char_start")
+    return A.offset_chunks(documents(spark, sf_dir), "doc_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("documents"),
+        F.min(size).alias("minimum"), F.round(F.avg(size), 6).alias("mean"), F.max(size).alias("maximum"),
+    )
+
+
 @query("""WITH w AS (SELECT l_orderkey, CAST(l_partkey % 500 AS BIGINT) AS s, CAST(l_partkey % 500 + l_quantity AS BIGINT) AS e FROM lineitem WHERE l_quantity > 0),
 m AS (SELECT *, CASE WHEN s > coalesce(max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS f FROM w),
 i AS (SELECT *, sum(f) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
@@ -193,10 +208,9 @@ def page_manifest(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2("url", 256).alias("url_sha256"), F.length("html").cast("long").alias("n_chars"))
 
 
-@query(r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(
-replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
-'(?i)<\s*(?:br\s*/?|/\s*(?:li|p|div)|li|p|div)\s*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_sha256 FROM pages""")
+@query()
 def page_text(spark, sf_dir):
+    """Pages without markup and with all HTML entities resolved, for which SQL has no function."""
     from ragstone.functions.text import collapsed, without_markup
 
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(collapsed(without_markup(F.col("html"))), 256).alias("text_sha256"))

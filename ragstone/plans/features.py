@@ -11,7 +11,7 @@ from ragstone.operators import retrieval as R
 from .fixtures import PREDICTIONS, RESPONSES, predictions, responses, table
 from .metrics import rounded
 from .registry import query
-from .retrieval import BM25, CONDITIONS, OVERLAP, TOKENS, benchmark, bm25_hits, documents, overlap_scores
+from .retrieval import BM25, CONDITIONS, OVERLAP, TOKENS, benchmark, bm25_hits, index, overlap_scores
 
 KS = "ks AS (SELECT unnest([1, 3, 5, 10]) AS k)"
 
@@ -41,12 +41,11 @@ FROM cov JOIN ov ON ov.item_id = cov.item_id AND ov.k = cov.k GROUP BY ALL"""
 
 @query(LEX)
 def lexical_coverage_features(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    terms = lambda df, key: df.select(key, F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    context = at_depths(bm25_hits(spark, sf_dir)).join(terms(docs, "doc_id"), "doc_id").select("item_id", "k", "rank", "terms")
-    idf = R.idf_table(R.tokenized(docs, "doc_id")).select("term", "idf")
-    n = docs.count()
-    rows = X.lexical_features(terms(benchmark(spark, sf_dir), "item_id"), context, idf, "item_id", R.oov_idf(F.lit(float(n))))
+    built = index(spark, sf_dir)
+    asked = benchmark(spark, sf_dir).select("item_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    context = at_depths(bm25_hits(spark, sf_dir)).join(built.documents.select("doc_id", "terms"), "doc_id").select("item_id", "k", "rank", "terms")
+    n = built.corpus.first()["n"]
+    rows = X.lexical_features(asked, context, built.vocabulary.select("term", "idf"), "item_id", R.oov_idf(F.lit(n)))
     return rounded(rows, "overlap_std").withColumn("overlap_std", F.round("overlap_std", 5))
 
 
@@ -79,7 +78,8 @@ def context_pairwise_similarity(spark, sf_dir):
 p AS (SELECT item_id, k, source, count(*) AS n, sum(length) AS length, count(DISTINCT text) AS u FROM c GROUP BY ALL)
 SELECT item_id, CAST(k AS INTEGER) AS k, CAST(sum(length) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS documents, round(max(n)::DOUBLE / sum(n), 6) AS dominant_share, round(1 - sum(u)::DOUBLE / sum(n), 6) AS duplicate_share FROM p GROUP BY item_id, k""")
 def context_composition_features(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("origin"), F.size(tokens(F.col("text"))).alias("length"), F.xxhash64("text").alias("text_hash"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("origin"), F.xxhash64("text").alias("text_hash"))
+    docs = docs.join(index(spark, sf_dir).documents.select("doc_id", "length"), "doc_id")
     context = at_depths(bm25_hits(spark, sf_dir)).join(docs, "doc_id").select("item_id", "k", F.col("origin").alias("doc_id"), "length", "text_hash")
     return rounded(X.composition(context, ["item_id", "k"]))
 
@@ -92,10 +92,15 @@ def retriever_agreement(spark, sf_dir):
     return rounded(first.join(second, ["item_id", "k"]).select("item_id", "k", *X.agreement(F.col("keys"), F.col("others"))))
 
 
-@query(f"""WITH t AS (SELECT item_id, text, {TOKENS.format('text')} AS w FROM benchmark), u AS (SELECT item_id, text, w, unnest(w) AS x FROM t),
-c AS (SELECT item_id, count(*) FILTER (WHERE regexp_matches(x, '[0-9]')) AS d, count(*) FILTER (WHERE (regexp_matches(x, '[0-9]') AND regexp_matches(x, '\\p{{L}}')) OR regexp_matches(x, '^[0-9]+(?:[./:-][0-9]+)+$') OR contains(x, '_')) AS i FROM u GROUP BY item_id)
-SELECT t.item_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(w) AS INTEGER) AS terms, CAST(len(list_distinct(w)) AS INTEGER) AS unique_terms, CAST(coalesce(d, 0) AS INTEGER) AS digit_terms, CAST(coalesce(i, 0) AS INTEGER) AS identifier_terms,
-round(coalesce(d, 0)::DOUBLE / len(w), 6) AS digit_share, round(coalesce(i, 0)::DOUBLE / len(w), 6) AS identifier_share FROM t LEFT JOIN c ON c.item_id = t.item_id""")
+LIKE = r"""(regexp_matches(x, '[_-]') OR (regexp_full_match(x, '[a-z0-9./:-]+') AND regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))
+  OR regexp_full_match(x, '[a-z0-9_/-]+(?:\.[a-z0-9_/-]+)+') OR regexp_full_match(x, 'v?[0-9]+(?:\.[0-9]+)+'))"""
+ASKED = f"""t AS (SELECT item_id, text, {TOKENS.format('text')} AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS x FROM t),
+c AS (SELECT item_id, count(*) FILTER (WHERE regexp_full_match(x, '[0-9]+')) AS d, count(*) FILTER (WHERE {LIKE}) AS i FROM u GROUP BY item_id),
+asked AS (SELECT t.item_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(w) AS INTEGER) AS terms, CAST(len(list_distinct(w)) AS INTEGER) AS unique_terms, round(len(list_distinct(w))::DOUBLE / len(w), 6) AS unique_share,
+  CAST(coalesce(d, 0) AS INTEGER) AS digit_terms, round(coalesce(d, 0)::DOUBLE / len(w), 6) AS digit_share, CAST(coalesce(i, 0) AS INTEGER) AS identifier_terms, round(coalesce(i, 0)::DOUBLE / len(w), 6) AS identifier_share FROM t LEFT JOIN c ON c.item_id = t.item_id)"""
+
+
+@query(f"WITH {ASKED} SELECT * FROM asked")
 def query_features(spark, sf_dir):
     asked = benchmark(spark, sf_dir).select("item_id", "text", tokens(F.col("text")).alias("w"))
     return rounded(asked.select("item_id", *X.query_features(F.col("text"), F.col("w"))))

@@ -87,11 +87,11 @@ def response_validation(spark, sf_dir):
     return rounded(G.response_validation(support(spark, sf_dir).join(human, KEY), ["response_id"], 0.4))
 
 
-@query(f"""{W}, l AS (SELECT response_id, CAST(length(response) // 3 AS INTEGER) AS ls, CAST(length(response) // 3 + 20 AS INTEGER) AS le FROM responses WHERE turn % 2 = 1)
+@query(f"""{W}, l AS (SELECT response_id, CAST(length(response) // 3 AS INTEGER) AS ls, CAST(length(response) // 3 + 20 AS INTEGER) AS le FROM responses)
 SELECT c.response_id, c.claim_index, EXISTS (SELECT 1 FROM l WHERE l.response_id = c.response_id AND greatest(l.ls, c.s) < least(l.le, c.e)) AS flagged FROM claims c""")
 def label_span_overlap(spark, sf_dir):
     third = (F.length("response") / 3).cast("int")
-    labels = responses(spark, sf_dir).filter("turn % 2 = 1").select("response_id", third.alias("start"), (third + 20).alias("end"))
+    labels = responses(spark, sf_dir).select("response_id", third.alias("start"), (third + 20).alias("end"))
     said = claims(spark, sf_dir).select(*KEY, "start", "end")
     return overlapping(said, labels, "response_id").select(*KEY, "flagged")
 

@@ -11,7 +11,7 @@ def rows(df, *columns):
 def test_bm25_ranks_the_exact_term_first_and_pads(spark):
     docs = spark.createDataFrame([(0, "alpha beta"), (1, "the server:8080 is down"), (2, "gamma")], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "SERVER:8080"), (8, "nothing")], "item_id long, text string")
-    hits = retrieval.padded_top_k(retrieval.bm25_scores(docs, asked, "doc_id", "item_id"), docs, asked, "item_id", "doc_id", 2)
+    hits = retrieval.padded_top_k(retrieval.bm25_scores(retrieval.index_of(docs, "doc_id"), asked, "item_id"), docs, asked, "item_id", "doc_id", 2)
     got = rows(hits, "item_id", "rank", "doc_id")
     assert got == [(7, 1, 1), (7, 2, 0), (8, 1, 0), (8, 2, 1)]
 
@@ -22,10 +22,10 @@ def test_blocks_and_joins_score_alike(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "the cat cat"), (2, "rare dog"), (3, "unknown"), (4, "")], "item_id long, text string")
     monkeypatch.setattr(retrieval, "BLOCK_DOCS", 16)
     top = lambda s: rows(retrieval.padded_top_k(s, docs, asked, "item_id", "doc_id", 5), "item_id", "rank", "doc_id", "score")
-    blocks = top(retrieval.bm25_candidates(docs, asked, "doc_id", "item_id", 5))
-    assert blocks == top(retrieval.bm25_scores(docs, asked, "doc_id", "item_id")) and len(blocks) == 20
+    blocks = top(retrieval.bm25_candidates(retrieval.index_of(docs, "doc_id"), asked, "item_id", 5))
+    assert blocks == top(retrieval.bm25_scores(retrieval.index_of(docs, "doc_id"), asked, "item_id")) and len(blocks) == 20
     monkeypatch.setattr(retrieval, "MOST_QUERY_POSTINGS", 2)
-    assert blocks == top(retrieval.bm25_candidates(docs, asked, "doc_id", "item_id", 5))
+    assert blocks == top(retrieval.bm25_candidates(retrieval.index_of(docs, "doc_id"), asked, "item_id", 5))
 
 
 def test_ties_go_to_the_smaller_key(spark):

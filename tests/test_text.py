@@ -1,3 +1,7 @@
+import html
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +26,11 @@ def test_question_normalization(spark):
 
 
 def test_nfkc_and_offsets(spark):
-    assert one(spark, "ﬁne Ｓtraße", X.nfkc_casefold) == "fine strasse"
+    assert one(spark, "ﬁne Ｓtraße", X.folded) == "fine strasse"
+    for text in ("ﬁ", "İstanbul", "ΣΊΣΥΦΟΣ", "e\u0301t\u00c9", "½ ² µ ª … ſ ŉ ǅ", "Ĳ ŀ", "plain ÀÖØöøž—“x”", "\u00a0x\u2003y", "ｶﾞ"):
+        assert one(spark, text, X.folded) == unicodedata.normalize("NFKC", text).casefold()
+        assert one(spark, text, X.nfkc) == unicodedata.normalize("NFKC", text)
+    assert one(spark, None, X.folded) is None
     row = one(spark, "A &amp; B—é", X.mapped_alignment_text)
     assert row.text == "a b é" and row.starts == [0, 1, 8, 9, 10] and row.ends == [1, 8, 9, 10, 11]
 
@@ -35,14 +43,16 @@ def test_claims_have_exact_offsets(spark):
 
 
 def test_reference_claims(spark):
-    html = "<ul><li>Open the file and set the flag; run the tool and check the log</li><li>Done; later</li></ul>"
-    assert one(spark, html, X.reference_claims) == ["Open the file and set the flag", "run the tool and check the log", "Done; later"]
+    page = "<ul><li>Open the file and set the flag; run the tool and check the log</li><li>Done; later</li></ul>"
+    assert one(spark, page, X.reference_claims) == ["Open the file and set the flag", "run the tool and check the log", "Done; later"]
     assert one(spark, " - ", X.reference_claims) == [] and one(spark, None, X.reference_claims) == []
 
 
 def test_passages(spark):
     assert [tuple(p) for p in one(spark, "passage 1:alpha\n Passage 2: beta\nx", X.passages)] == [(1, "alpha"), (2, "beta\nx")]
     assert [tuple(p) for p in one(spark, "plain", X.passages)] == [(1, "plain")]
+    assert [tuple(p) for p in one(spark, "passage 2: b\npassage 3:\nPASSAGE 1: a\npassage 2: c", X.passages)] == [(1, "a"), (2, "b"), (2, "c")]
+    assert one(spark, "  ", X.passages) == [] and one(spark, None, X.passages) == []
 
 
 @pytest.mark.parametrize("raw,score", [("Score: 4", 4), ("3/5", 3), ("I say 2.", 2), ("Grade A", 5), ("grade E", 1), ("none", None)])
@@ -59,3 +69,40 @@ def test_rouge_l(spark):
     rows = spark.createDataFrame([("the cat sat", "the cat sat"), ("a b c d", "a c e"), ("", "x"), (None, None)], "p string, r string")
     got = [r[0] for r in rows.select(X.rouge_l_f1("p", "r")).collect()]
     assert got == pytest.approx([1.0, 4 / 7, 0.0, 0.0])
+
+
+def test_plain_characters_need_no_function():
+    """Whatever counts as plain is left alone by NFKC and folded by lower(), but for ß."""
+    plain = re.compile(f"[{X.PLAIN}]")
+    for c in map(chr, range(0x3000)):
+        if plain.fullmatch(c):
+            assert unicodedata.normalize("NFKC", c) == c and c.casefold() == c.lower().replace("ß", "ss"), hex(ord(c))
+
+
+def test_entities(spark):
+    for text in ("a &amp;lt; b", "&#65;&#x42; &eacute;&hellip;", "&lt;b&gt; &nbsp;&quot;&#39;", "&notit; & &x", "&copy 2020", "no entity"):
+        want = html.unescape(text)
+        got = one(spark, text, X.unescaped)
+        assert got == want or got == want.replace("\xa0", " ")
+
+
+def test_identifiers(spark):
+    like = ["foo-bar", "foo_bar", "a1", "v1.2", "1.2.3", "config.sys", "host:8080", "x/y.z"]
+    plain = ["foo", "123", "foo:bar", "é1", "a.b:c"]
+    pattern = re.compile(X.IDENTIFIER)
+    for token in like + plain:
+        assert one(spark, token, X.identifier_like) == (pattern.fullmatch(token) is not None), token
+    assert all(one(spark, t, X.identifier_like) for t in like) and not one(spark, "foo", X.identifier_like)
+
+
+@pytest.mark.parametrize(
+    "text,ok",
+    [("2026-07-20T10:11:12Z", True), ("2026-07-20T10:11:12.5+02:00", True), ("2026-13-20T10:11:12Z", False), ("2026-07-20 10:11", False), ("x2026-07-20T10:11:12Z", False), (None, False)],
+)
+def test_timestamps(spark, text, ok):
+    assert one(spark, text, X.is_timestamp) is ok
+
+
+def test_generated_text_and_provenance(spark):
+    assert one(spark, " ﬁne\u00a0 text\n here ", X.normalized_generated_text) == "fine text here"
+    assert one(spark, "TRAIN_Q12_Q3", X.provenance) == "TRAIN" and one(spark, "plain", X.provenance) == "plain"
