@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, evaluation, features, governance, grounding, learning, metrics, policy, reports, retrieval, statistics  # noqa: F401
+from . import alignment, evaluation, features, governance, grounding, integrity, learning, metrics, policy, reports, retrieval, statistics, systems, tables  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragstone.operators.governance import table_hash
@@ -54,3 +56,27 @@ def write_immutable(df: DataFrame, path: str) -> str:
     if sorted(there.dtypes) != sorted(df.dtypes) or _hash(there) != _hash(df):
         raise ImmutableError(f"{path} holds another result")
     return "same"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """A small file (a JSON artifact, Markdown, SVG) on any file system Spark knows, atomically: written aside, then
+    renamed. A file that is there must have the same content. `written` or `same`."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place, aside = jvm.Path(path), jvm.Path(path + ".tmp")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(place):
+        there = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+        if there != text:
+            raise ImmutableError(f"{path} holds another result")
+        return "same"
+    stream = system.create(aside, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    if not system.rename(aside, place):
+        raise OSError(f"can't rename to {path}")
+    return "written"
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> str:
+    """A JSON artifact: sorted keys, UTF-8, two spaces, a line end; numbers that JSON lacks are errors."""
+    return write_text(spark, path, json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False) + "\n")
