@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ragstone.session import shared_folder
 
+from .ordering import numbered
+
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """key, component: the smallest key that is connected to each node.
@@ -35,8 +37,8 @@ def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 def group_folds(groups: DataFrame, group: str, n: int) -> DataFrame:
     """group, fold: groups by descending size (ties by name) are dealt in turn; no group is in two folds."""
     sized = groups.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    place = F.row_number().over(Window.orderBy(F.desc("size"), group)) - 1
-    return sized.withColumn("fold", (place % n).cast("int"))
+    placed = numbered(sized, "place", "size", descending=True, ties=[group])
+    return placed.select(group, "size", (F.col("place") % n).cast("int").alias("fold"))
 
 
 def fold_manifest(rows: DataFrame, folds: DataFrame, group: str, y: str) -> DataFrame:
@@ -55,21 +57,28 @@ def fold_manifest(rows: DataFrame, folds: DataFrame, group: str, y: str) -> Data
     )
 
 
-def allocate(vectors: list[tuple[tuple[int, ...], int]], ratios: dict[str, float]) -> dict[tuple[int, ...], dict[str, int]]:
+#: Kinds of components that are placed by search, and up to which pairs of moves are tried.
+MOST_KINDS, MOST_PAIRED = 256, 24
+
+
+def allocate(
+    vectors: list[tuple[tuple[int, ...], int]], ratios: dict[str, float], placed: dict[tuple[str, int], int] | None = None
+) -> dict[tuple[int, ...], dict[str, int]]:
     """How many components of each kind go to each split, so that the largest relative deviation of any total from its
     target is least, then the sum of deviations.
 
-    vectors: (sizes of a kind, how many components). Kinds are few whatever the corpus, as equal components are
-    interchangeable. Larger kinds are placed first by exhaustive search over small counts and by rounding large ones;
-    then single moves between splits improve the pair of objectives until none does."""
+    vectors: (sizes of a kind, how many components), as equal components are interchangeable; placed: what (split, measure)
+    already holds. Counts are rounded shares at first; then single moves between splits, and pairs of them where kinds are
+    few, improve the pair of objectives until none does."""
+    placed = placed or {}
     names = list(ratios)
     width = len(vectors[0][0])
-    totals = [sum(v[m] * n for v, n in vectors) for m in range(width)]
+    totals = [sum(v[m] * n for v, n in vectors) + sum(placed.get((s, m), 0) for s in names) for m in range(width)]
     targets = {(s, m): ratios[s] * totals[m] for s in names for m in range(width)}
 
     def score(plan: dict) -> tuple[float, float]:
         off = [
-            abs(sum(v[m] * plan[v][s] for v, _ in vectors) - targets[s, m]) / targets[s, m]
+            abs(sum(v[m] * plan[v][s] for v, _ in vectors) + placed.get((s, m), 0) - targets[s, m]) / targets[s, m]
             for s in names
             for m in range(width)
             if targets[s, m]
@@ -86,7 +95,8 @@ def allocate(vectors: list[tuple[tuple[int, ...], int]], ratios: dict[str, float
     while True:
         found = None
         moves = [((v, a, b),) for v, _ in vectors for a, b in product(names, names) if a != b]
-        for move in moves + [(x[0], y[0]) for x in moves for y in moves if x < y]:
+        pairs = [(x[0], y[0]) for x in moves for y in moves if x < y] if len(vectors) <= MOST_PAIRED else []
+        for move in moves + pairs:
             if any(plan[v][a] < sum(1 for w in move if w[0] == v and w[1] == a) for v, a, _ in move):
                 continue
             for v, a, b in move:
@@ -107,23 +117,41 @@ def allocate(vectors: list[tuple[tuple[int, ...], int]], ratios: dict[str, float
 
 
 def split_components(parts: DataFrame, component: str, measures: list[str], ratios: dict[str, float], seed: str) -> DataFrame:
-    """component, split. parts: component and its measures. What comes to the driver is a row per distinct vector of
-    measures; components of a kind are told apart by a hash of the seed and their name."""
-    kinds = parts.groupBy(*measures).agg(F.count(F.lit(1)).alias("n")).orderBy(*measures).collect()
+    """component, split. parts: component and its measures.
+
+    The MOST_KINDS kinds (distinct measures) that hold most are placed by allocate(); components of a kind are told apart
+    by a hash of the seed and their name. All other components, each a small share, go by that hash, and allocate() makes
+    up for what they leave. At most MOST_KINDS rows and a sum per split come to the driver."""
+    names = list(ratios)
+    weight = F.col("n") * sum((F.col(m).cast("double") for m in measures), F.lit(0.0))
+    kinds = parts.groupBy(*measures).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(weight), *measures).limit(MOST_KINDS).collect()
     if not kinds:
         return parts.select(component, F.lit(None).cast("string").alias("split"))
-    plan = allocate([(tuple(k[m] for m in measures), k["n"]) for k in kinds], ratios)
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col(component).cast("string")), 256)
+    schema = ", ".join(f"{m} long" for m in measures)
+    table = parts.sparkSession.createDataFrame([tuple(k[m] for m in measures) for k in kinds], schema)
+    small = parts.select(component, *measures).join(F.broadcast(table), measures, "left_anti")
+    drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    split, upto = F.lit(names[-1]), 1.0
+    for name in reversed(names[:-1]):
+        upto -= ratios[names[names.index(name) + 1]]
+        split = F.when(drawn < upto, name).otherwise(split)
+    small = small.withColumn("split", split)
+    held = {}
+    for r in small.groupBy("split").agg(*[F.sum(m).alias(m) for m in measures]).collect():
+        held |= {(r["split"], i): r[m] for i, m in enumerate(measures)}
+    plan = allocate([(tuple(k[m] for m in measures), k["n"]) for k in kinds], ratios, held)
     rows = []
     for kind, counts in plan.items():
         at = 0
         for name, n in counts.items():
             rows.append((*kind, at, at + n, name))
             at += n
-    schema = ", ".join(f"{m} long" for m in measures) + ", low long, high long, split string"
-    table = parts.sparkSession.createDataFrame(rows, schema)
-    nth = F.row_number().over(Window.partitionBy(*measures).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(component).cast("string")), 256))) - 1
+    table = parts.sparkSession.createDataFrame(rows, f"{schema}, low long, high long, split string")
+    nth = F.row_number().over(Window.partitionBy(*measures).orderBy(digest)) - 1
     placed = parts.select(component, *measures).withColumn("nth", nth)
-    return placed.join(F.broadcast(table), measures).filter("nth >= low and nth < high").select(component, "split")
+    large = placed.join(F.broadcast(table), measures).filter("nth >= low and nth < high")
+    return large.select(component, "split").unionByName(small.select(component, "split"))
 
 
 def balanced_sample(candidates: DataFrame, strata: str, per_stratum: int, spread: list[str], key: str, unique: str, seed: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import auroc, average_precision, brier
@@ -115,10 +115,11 @@ def calibrate(scored: DataFrame, method: str) -> Callable[[DataFrame], DataFrame
 
 
 def permuted(df: DataFrame, column: str, seed: str, key: str) -> DataFrame:
-    """df with the column's values dealt anew: the i-th row by key gets the value of the i-th row by a hash."""
-    by_key = df.withColumn("__i", F.row_number().over(Window.orderBy(key))).drop(column)
-    shuffled = df.select(column, F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256))).alias("__i"))
-    return by_key.join(shuffled, "__i").drop("__i").select(*df.columns)
+    """df with the column's values dealt anew: the i-th row by one hash of its key gets the value of the i-th by another."""
+    digest = lambda name: F.sha2(F.concat_ws("|", F.lit(name), F.lit(seed), F.col(key).cast("string")), 256)
+    rows = numbered(df.withColumn("__h", digest("to")), "__i", "__h", ties=[key]).drop("__h", column)
+    values = numbered(df.select(column, key, digest("from").alias("__h")), "__i", "__h", ties=[key]).select(column, "__i")
+    return rows.join(values, "__i").select(*df.columns)
 
 
 def importance(df: DataFrame, model: PipelineModel, prepared: Prepared, columns: Sequence[str], key: str, repeats: int = 3) -> list[dict]:

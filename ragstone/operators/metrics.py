@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ragstone.functions.vectors import ratio, wilson
 
+from .ordering import running
+
 #: A group column that puts all rows into one group.
 ALL = "__all"
 
@@ -95,15 +97,13 @@ def average_rank(value: str, by: list[str]) -> Column:
 
 
 def auroc(df: DataFrame, y: str, score: str, by: list[str] = ()) -> DataFrame:
-    """auroc per group; null with one class. Rows are first counted by score, so a group's window has a row per distinct
-    score, whatever the number of rows."""
+    """auroc per group; null with one class. Rows are first counted by score, and the distinct scores are summed along
+    their order by buckets, so no task sees a whole group."""
     df, by = _groups(df, list(by))
     counted = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(
-        F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    wins = F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2.0)
-    summed = counted.withColumn("wins", wins).groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    before = running(counted.withColumn("neg", F.col("n") - F.col("pos")), by, score, ["neg"])
+    wins = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0)
+    summed = before.withColumn("wins", wins).groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     negatives = F.col("n") - F.col("p")
     return summed.select(*by, ratio(F.col("wins"), F.col("p") * negatives).alias("auroc")).drop(ALL)
 
@@ -112,10 +112,10 @@ def average_precision(df: DataFrame, y: str, score: str, by: list[str] = ()) ->
     """Sum of precision times recall step over distinct scores, descending; a step function, no trapezoids."""
     df, by = _groups(df, list(by))
     counted = df.groupBy(*by, score).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("pos").over(Window.partitionBy(*by))
-    steps = counted.withColumn("gain", ratio(F.col("pos"), total) * F.sum("pos").over(upto) / F.sum("n").over(upto))
-    return steps.groupBy(*by).agg(F.sum("gain").alias("average_precision")).drop(ALL)
+    before = running(counted, by, score, ["pos", "n"], descending=True)
+    precision = (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n"))
+    steps = before.withColumn("gain", F.col("pos") * precision)
+    return steps.groupBy(*by).agg(ratio(F.sum("gain"), F.sum("pos")).alias("average_precision")).drop(ALL)
 
 
 def brier(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
@@ -232,20 +232,35 @@ def rescued_prediction() -> Column:
 
 
 def evaluated_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Confusion, rates and rescue counts of each candidate. rows: strict, truth, coverage and scores."""
+    """Confusion, rates and rescue counts of each candidate. rows: strict, truth, coverage and scores.
+
+    Rows are counted by what the rules compare, the place of each signal among the thresholds, before they meet the grid:
+    what is multiplied is bounded by the thresholds, not by the rows."""
+    bounds = candidates.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in ("t_cov", "t_mean", "t_min", "t_con")])
+    reached = lambda value, cuts: F.size(F.filter(cuts, lambda t: F.col(value) >= t))
+    pairs = {"coverage": "t_cov", "mean_score": "t_mean", "min_score": "t_min", "contradiction": "t_con"}
+    placed = rows.crossJoin(F.broadcast(bounds)).select(
+        "strict", "truth", *[F.when(F.col(v).isNotNull(), reached(v, F.col(t))).alias(v) for v, t in pairs.items()]
+    )
+    counted = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("n"))
+    ranked = candidates.crossJoin(F.broadcast(bounds.select(*[F.col(t).alias(f"all_{t}") for t in pairs.values()]))).withColumns(
+        {t: F.when(F.col(t).isNotNull(), F.array_position(F.col(f"all_{t}"), F.col(t)).cast("double")) for t in pairs.values()}
+    )
     by_coverage, by_scores = rescue_signals()
     fresh = (F.col("strict") == 0) & (F.col("prediction") == 1)
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    cell = lambda t, p: total((F.col("truth") == t) & (F.col("prediction") == p))
     cells = (
-        rows.crossJoin(F.broadcast(candidates))
+        counted.crossJoin(F.broadcast(ranked))
         .withColumn("prediction", rescued_prediction())
         .groupBy("candidate_order", "family")
         .agg(
-            *confusion(F.col("truth"), F.col("prediction")),
-            F.count_if(fresh & by_coverage).alias("rescued_by_coverage"),
-            F.count_if(fresh & by_scores).alias("rescued_by_nli"),
-            F.count_if(fresh & by_coverage & by_scores).alias("overlap"),
+            cell(0, 0).alias("tn"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(1, 1).alias("tp"),
+            total(fresh & by_coverage).alias("rescued_by_coverage"),
+            total(fresh & by_scores).alias("rescued_by_nli"),
+            total(fresh & by_coverage & by_scores).alias("overlap"),
         )
-    )
+    )
     return cells.withColumns(rates(*(F.col(c) for c in ("tn", "fp", "fn", "tp"))))
 
 

@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragstone.functions.vectors import ratio
 
+from .ordering import running
+
 
 def risk_coverage(df: DataFrame, y: str, p: str) -> DataFrame:
-    """threshold, answered, coverage, risk: a row that answers nothing (null risk, null threshold), one for each distinct
-    probability, and threshold 0 if it isn't among them. The window has a row per distinct probability."""
+    """threshold, answered, coverage, risk, step: a row that answers nothing (null risk, null threshold), one for each
+    distinct probability, and threshold 0 if it isn't among them. step is the share of rows that a threshold adds."""
     counted = df.groupBy(F.col(p).alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col(y)).alias("unsafe"))
-    upto = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    points = counted.select(
-        F.col("threshold"), F.sum("n").over(upto).alias("answered"), F.sum("unsafe").over(upto).alias("unsafe")
+    before = running(counted, [], "threshold", ["n", "unsafe"], descending=True)
+    points = before.select(
+        "threshold", (F.col("n") + F.col("before_n")).alias("answered"), (F.col("unsafe") + F.col("before_unsafe")).alias("unsafe"), "n"
     )
     total = df.agg(F.count(F.lit(1)).alias("total"), F.min(p).alias("least"), F.sum(1 - F.col(y)).alias("all_unsafe"))
-    none = df.sparkSession.range(1).select(
-        F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("answered"), F.lit(0).cast("long").alias("unsafe")
-    )
-    zero = total.filter("least > 0").select(F.lit(0.0).alias("threshold"), F.col("total").alias("answered"), F.col("all_unsafe").alias("unsafe"))
+    zero = F.lit(0).cast("long")
+    none = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), zero.alias("answered"), zero.alias("unsafe"), zero.alias("n"))
+    least = total.filter("least > 0").select(F.lit(0.0).alias("threshold"), F.col("total").alias("answered"), F.col("all_unsafe").alias("unsafe"), zero.alias("n"))
+    share = lambda c: F.col(c) / F.col("total")
     return (
         none.unionByName(points)
-        .unionByName(zero)
+        .unionByName(least)
         .crossJoin(F.broadcast(total.select("total")))
-        .select("threshold", "answered", (F.col("answered") / F.col("total")).alias("coverage"), ratio(F.col("unsafe"), F.col("answered")).alias("risk"))
+        .select("threshold", "answered", share("answered").alias("coverage"), ratio(F.col("unsafe"), F.col("answered")).alias("risk"), share("n").alias("step"))
     )
 
 
 def aurc(curve: DataFrame) -> DataFrame:
-    """Area under risk over coverage by right-endpoint rectangles; the point without risk only starts the first one."""
-    before = F.lag("coverage", 1, 0.0).over(Window.orderBy("coverage", F.desc("threshold")))
-    return curve.withColumn("width", F.col("coverage") - before).filter("risk is not null").agg(
-        F.sum(F.col("width") * F.col("risk")).alias("aurc")
-    )
+    """Area under risk over coverage by right-endpoint rectangles, each as wide as the share its threshold adds."""
+    return curve.filter("risk is not null").agg(F.sum(F.col("step") * F.col("risk")).alias("aurc"))
 
 
 def operating_points(curve: DataFrame, constraints: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ragstone.functions.vectors import draw, normal_tail, ratio
 
 from .metrics import average_rank
+from .ordering import numbered
 
 
 def complete_pairs(df: DataFrame, first: str, second: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -27,10 +28,8 @@ def draws(clusters: DataFrame, cluster: str, replicates: int, seed: str) -> Data
 
     Draw i of a replicate is a hash of (seed, replicate, i) modulo the number of clusters, so any engine draws alike.
     Counting first keeps one row per replicate and drawn cluster; the rows of a cluster are weighted, never copied."""
-    ordered = clusters.select(cluster).distinct()
-    place = (F.row_number().over(Window.orderBy(cluster)) - 1).alias("place")
-    placed = ordered.select(cluster, place)
-    n = placed.agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(clusters.select(cluster).distinct(), "place", cluster)
+    n = clusters.select(cluster).distinct().agg(F.count(F.lit(1)).alias("n"))
     spark = clusters.sparkSession
     tries = (
         spark.range(replicates)

@@ -37,7 +37,7 @@ def policies(spark, sf_dir):
 
 @query(CURVE + " SELECT threshold, answered, round(coverage, 6) AS coverage, round(risk, 6) AS risk FROM curve")
 def risk_coverage_curve(spark, sf_dir):
-    return rounded(curve(spark, sf_dir))
+    return rounded(curve(spark, sf_dir).drop("step"))
 
 
 @query(CURVE + ", l AS (SELECT *, coverage - lag(coverage, 1, 0) OVER (ORDER BY coverage, threshold DESC) AS width FROM curve) SELECT round(sum(width * risk), 6) AS aurc FROM l WHERE risk IS NOT NULL")

@@ -291,3 +291,37 @@ def test_preparation_and_folds(spark):
 def test_markdown(spark):
     df = spark.createDataFrame([("a|b", 0.5, None)], "n string, v double, w int")
     assert reports.markdown(df, "T") == "# T\n\n| n | v | w |\n| --- | --- | --- |\n| a\\|b | 0.500000 | NA |\n"
+
+
+def test_sums_along_an_order(spark):
+    from ragstone.operators.ordering import numbered, running
+
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice([0.0, -3.5, 1e-9, 1e12, rng.random(), rng.random() * 100, -rng.random()]), rng.randrange(9)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, n long").groupBy("g", "x").sum("n").withColumnRenamed("sum(n)", "n").repartition(5)
+    for down in (False, True):
+        got = {(r.g, r.x): r.before_n for r in running(df, ["g"], "x", ["n"], down).collect()}
+        for g in "ab":
+            total = 0
+            for r in sorted((r for r in df.collect() if r.g == g), key=lambda r: -r.x if down else r.x):
+                assert got[g, r.x] == total
+                total += r.n
+    names = sorted({f"{rng.choice('éaZ9')}{rng.choice('xyß')}{i}" for i in range(80)}, key=lambda t: t.encode())
+    placed = numbered(spark.createDataFrame([(t,) for t in names], "t string").repartition(4), "i", "t")
+    assert [r.t for r in placed.orderBy("i").collect()] == names and sorted(r.i for r in placed.collect()) == list(range(80))
+
+
+def test_many_kinds_of_components_still_balance(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = spark.createDataFrame([(i, rng.randrange(1, 900), rng.randrange(0, 300)) for i in range(1500)], "c long, total long, positive long")
+    split = graph.split_components(parts, "c", ["total", "positive"], {"train": 0.7, "validation": 0.15, "test": 0.15}, "1")
+    assert split.count() == 1500 == split.select("c").distinct().count()
+    sums = parts.join(split, "c").groupBy("split").sum("total", "positive").collect()
+    whole = parts.groupBy().sum("total", "positive").first()
+    for r in sums:
+        want = {"train": 0.7}.get(r.split, 0.15)
+        assert abs(r["sum(total)"] / whole[0] - want) < 0.01 and abs(r["sum(positive)"] / whole[1] - want) < 0.01
