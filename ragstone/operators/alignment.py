@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -66,6 +66,26 @@ def offset_chunks(docs: DataFrame, key: str, window: int = 224, step: int = 176)
     )
 
 
+def model_chunks(docs: DataFrame, key: str, offsets: Callable[[], Callable[[str], list[tuple[int, int]]]], window: int = 224, step: int = 176) -> DataFrame:
+    """offset_chunks() for a model's tokens: offsets() gives, on the worker, a function from a text to where each of its
+    tokens starts and ends. The last window ends with the text; a text without tokens has none."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = offsets()
+        for batch in batches:
+            rows: list[tuple] = []
+            for name, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
+                at = places(text) if text else []
+                for i, first in enumerate(range(0, max(1, len(at) - window + step) if at else 0, step)):
+                    start, end = at[first][0], at[min(first + window, len(at)) - 1][1]
+                    rows.append((name, i, start, end, text[start:end]))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (batch.schema.field(key).type, pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[key, "chunk_index", "char_start", "char_end", "chunk"])
+
+    return docs.select(key, "text").mapInArrow(cut, f"{key} {dict(docs.dtypes)[key]}, chunk_index int, char_start int, char_end int, chunk string")
+
+
 def _needle_blocks(needles: DataFrame) -> list[pa.Table]:
     """item_id, needle: the needles in blocks of about BLOCK_CHARS characters, by a hash of their id."""
     asked = needles.select("item_id", F.col("text").alias("needle")).filter("needle <> ''")

@@ -56,7 +56,7 @@ def family(name: str, n_rows: int, seed: int = 42, **params):
             featuresCol="features", labelCol="y", regParam=1.0 / (params.get("C", 1.0) * max(1, n_rows)), standardization=False, maxIter=200
         )
     return RandomForestClassifier(
-        featuresCol="features", labelCol="y", numTrees=params.get("trees", 50), maxDepth=params.get("depth", 8),
+        featuresCol="features", labelCol="y", numTrees=params.get("trees", 500), maxDepth=params.get("depth", 8),
         minInstancesPerNode=params.get("leaf", 1), seed=seed,
     )
 

@@ -90,6 +90,21 @@ def token_window_chunks(spark, sf_dir):
     return A.offset_chunks(documents(spark, sf_dir), "doc_id").withColumn("chunk_sha256", F.sha2("chunk", 256)).drop("chunk")
 
 
+def bpe_offsets():
+    """Where a public byte-pair tokenizer's tokens start and end."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: loaded.encode(text, add_special_tokens=False).offsets
+
+
+@query()
+def model_token_chunks(spark, sf_dir):
+    """Windows of 224 tokens of a public tokenizer, every 176."""
+    return A.model_chunks(documents(spark, sf_dir), "doc_id", bpe_offsets).withColumn("chunk_sha256", F.sha2("chunk", 256)).drop("chunk")
+
+
 @query(f"WITH {PIECES}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) SELECT CAST(n AS BIGINT) AS chunks, CAST(count(*) AS BIGINT) AS documents FROM n GROUP BY n")
 def chunks_per_document(spark, sf_dir):
     per = A.offset_chunks(documents(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
@@ -203,6 +218,14 @@ def claims(spark, sf_dir):
     )
 
 
+@query()
+def input_files(spark, sf_dir):
+    """The files that the tables are read from, each with its hash."""
+    from ragstone.sources.readers import read_folder
+
+    return read_folder(spark, sf_dir).select("path", F.length("content").cast("long").alias("bytes"), "sha256")
+
+
 @query("""SELECT p.page_id, sha256(p.url) AS url_sha256, CAST(length(p.html) AS BIGINT) AS n_chars FROM pages p""")
 def page_manifest(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2("url", 256).alias("url_sha256"), F.length("html").cast("long").alias("n_chars"))

@@ -44,7 +44,7 @@ def logistic_out_of_fold(spark, sf_dir):
 
 @query()
 def forest_out_of_fold(spark, sf_dir):
-    return summary(spark, L.out_of_fold(frame(spark, sf_dir), NUMERIC, "fold", 3, "forest", trees=20), "forest")
+    return summary(spark, L.out_of_fold(frame(spark, sf_dir), NUMERIC, "fold", 3, "forest"), "forest")
 
 
 @query()

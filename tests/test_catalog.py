@@ -101,6 +101,29 @@ def test_evidence_alignment(spark):
         assert ((item.item_id, None, "unresolved") in got) == (places == 0)
 
 
+def test_model_token_chunks(spark):
+    from ragstone.plans.alignment import bpe_offsets
+
+    got = defaultdict(dict)
+    for r in QUERIES["model_token_chunks"](spark, SF).collect():
+        got[r.doc_id][r.chunk_index] = (r.char_start, r.char_end, r.chunk_sha256)
+    offsets = bpe_offsets()
+    for r in read(spark, "documents", "doc_id", "text"):
+        at, want, first = offsets(r.text), {}, 0
+        while at:
+            part = at[first : first + 224]
+            want[len(want)] = (part[0][0], part[-1][1], hashlib.sha256(r.text[part[0][0] : part[-1][1]].encode()).hexdigest())
+            if first + 224 >= len(at):
+                break
+            first += 176
+        assert got.get(r.doc_id, {}) == want
+
+
+def test_input_files(spark):
+    got = {r.path: (r.bytes, r.sha256) for r in QUERIES["input_files"](spark, SF).collect()}
+    assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(SF).iterdir()}
+
+
 def test_question_components(spark):
     rows = read(spark, "lineitem", "l_orderkey", "l_partkey")
     parent = {}
