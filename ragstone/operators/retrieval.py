@@ -188,12 +188,13 @@ def bm25_candidates(index: Index, questions: DataFrame, question: str, k: int) -
                 there = pc.is_valid(found).to_numpy(zero_copy_only=False)
                 doc = pc.list_parent_indices(lists).to_numpy()[there]
                 at = found.drop_null().to_numpy()
-                tf = np.zeros((block.num_rows, len(place)))
-                tf[doc, at] = block.column("tfs").flatten().to_numpy()[there]
+                tf = block.column("tfs").flatten().to_numpy()[there]
                 lengths = block.column("length").to_numpy()
-                saturated = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[:, None])
+                # Only cells of terms that a document has are worked out; all others stay 0.
+                saturated = np.zeros((block.num_rows, len(place)))
+                saturated[doc, at] = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / average))[doc])
                 scores = saturated @ asked_of
-                shared = scores > 0 if touched is None else (tf > 0).astype(np.float32) @ touched > 0
+                shared = scores > 0 if touched is None else (saturated > 0).astype(np.float32) @ touched > 0
                 ordered = np.where(shared, scores, -np.inf)
                 least = np.partition(ordered, -min(k, block.num_rows), axis=0)[-min(k, block.num_rows)] - 2e-6
                 early = np.array([x in first for x in block.column(key).to_pylist()])
