@@ -325,3 +325,14 @@ def test_many_kinds_of_components_still_balance(spark):
     for r in sums:
         want = {"train": 0.7}.get(r.split, 0.15)
         assert abs(r["sum(total)"] / whole[0] - want) < 0.01 and abs(r["sum(positive)"] / whole[1] - want) < 0.01
+
+
+def test_permuted_deals_all_values_anew_and_importance_finds_the_column_that_matters(spark):
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 7), i % 2) for i in range(200)], "k long, told double, noise double, y int")
+    dealt = learning.permuted(df, "told", "seed", "k")
+    assert dealt.columns == df.columns and rows(dealt, "k", "noise", "y") == rows(df, "k", "noise", "y")
+    assert rows(dealt, "told") == rows(df, "told") and rows(dealt) != rows(df)
+    assert rows(dealt) == rows(learning.permuted(df.repartition(3), "told", "seed", "k"))
+    prepared = learning.prepare(df, ["told", "noise"])
+    got = learning.importance(df, learning.fit(df, prepared, "logistic"), prepared, ["told", "noise"], "k", repeats=2)
+    assert [r["feature"] for r in got] == ["told", "noise"] and got[0]["drop"] > 0.3 and abs(got[1]["drop"]) < 0.05
