@@ -19,6 +19,8 @@ TOKEN = r"[\p{L}\p{N}_]+(?:[./:-]+[\p{L}\p{N}_]+)*"
 ASCII_TOKEN = r"[a-z0-9_./:+#-]+"
 DATA_URI = r"(?i)data:[a-z0-9.+/-]*;base64,[a-z0-9+/=]+"
 BASE64_RUN = r"[A-Za-z0-9+/=]{250,}"
+#: White space of claims: \s without the vertical tab.
+SPACE = r"[ \t\n\f\r]"
 BULLET = r"^\s*(?:[-*•]+|\(?\d+[.)]|[A-Za-z][.)])\s+"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9(<\[])"
 BREAK_TAG = r"(?i)<\s*(?:br\s*/?|/\s*(?:li|p|div)|li|p|div)\s*>"
@@ -194,8 +196,9 @@ def passages(text: Column) -> Column:
 def segmented_claims(response: Column) -> Column:
     """Array of (claim_index, start, end, text) with exact code-point offsets into the response.
 
-    The text is cut into separators and bodies that add up to it, so offsets are running sums of lengths."""
-    cut = F.regexp_replace(response, r"(?<=[.!?])(\s+)(?=[A-Z0-9(<\[])", "\u0001$1")
+    The text is cut into separators and bodies that add up to it, so offsets are running sums of lengths. White space is
+    SPACE alone. Lines are cut apart, so a marker that ends its line marks nothing and is a claim itself."""
+    cut = F.regexp_replace(response, r"(?<=[.!?])([ \t\f\r]+)(?=[A-Z0-9(<\[])", "\u0001$1")
     pieces = F.flatten(F.transform(F.split(cut, r"(?<=\n)"), lambda x: F.split(x, "\u0001")))
     placed = F.aggregate(
         pieces,
@@ -210,10 +213,11 @@ def segmented_claims(response: Column) -> Column:
 
 
 def _claim(at: Column, piece: Column) -> Column:
-    lead = F.length(F.regexp_extract(piece, BULLET, 0))
-    blank = F.length(F.regexp_extract(piece, r"^\s+", 0))
+    lead = F.length(F.regexp_extract(F.rtrim(piece, F.lit("\n")), BULLET.replace(r"\s", SPACE), 0))
+    blank = F.length(F.regexp_extract(piece, rf"^{SPACE}+", 0))
     start = at + F.greatest(lead, blank)
-    text = F.regexp_replace(F.substring(piece, F.greatest(lead, blank) + 1, F.length(piece)), r"\s+$", "")
+    # Not $, which also stands before a last line end of any kind.
+    text = F.regexp_replace(F.substring(piece, F.greatest(lead, blank) + 1, F.length(piece)), rf"{SPACE}+\z", "")
     return F.struct(start.alias("start"), (start + F.length(text)).alias("end"), text.alias("text"))
 
 

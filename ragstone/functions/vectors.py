@@ -57,3 +57,9 @@ def draw(seed: Column, parts: list[Column], n: Column) -> Column:
     """A whole number in [0, n) from a hash of seed and parts, the same in any engine that has SHA-256."""
     digest = F.sha2(F.concat_ws("|", seed, *[p.cast("string") for p in parts]), 256)
     return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), n.cast("long"))
+
+
+def rounded_as_sql(x: Column, digits: int = 6) -> Column:
+    """x rounded as DuckDB does it, by the scaled double; F.round() goes by the shortest decimal, which may be a tie that
+    the double isn't."""
+    return F.round(x * float(10**digits)) / float(10**digits)

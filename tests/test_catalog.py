@@ -221,3 +221,27 @@ def test_passage_rows(spark):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     assert {i: "".join("".join(p).split()) for i, p in parts.items()} == {i: "".join(t.split()) for i, t in texts.items()}
     assert all(len(p) == 2 for p in parts.values())
+
+
+#: A marker at a line's end, alone and before a capital; line ends and white space of other kinds; letters whose lower
+#: case depends on their place; a turn without a text.
+ODD_TURNS = [
+    (1, 0, "user", "ΟΔΟΣ İx word"), (1, 1, "assistant", "1.\nthe word\nA. \nDef ghi. a.\n- \nend"), (1, 2, "user", None),
+    (1, 3, "assistant", "1.\r\n <y z\n\x0b 2) odd. \x0bNext ΟΔΟΣ \x85"), (1, 4, "assistant", "word  "), (1, 5, "assistant", "İx. Σ ΟΔΟΣ a b c"),
+    (2, 0, "assistant", None), (2, 1, "user", ""), (2, 2, "assistant", "b)\n\n(x y.  Z\t\nword"),
+]
+
+
+@pytest.mark.parametrize("name", [
+    "claim_segments", "claim_offset_check", "claim_candidate_top3", "claim_support_scores", "label_span_overlap", "response_grounding", "response_validation",
+])
+def test_claims_of_odd_turns_like_sql(spark, tmp_path, name):
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    connection = duckdb.connect()
+    connection.execute(f"create view conversations as select * from read_parquet('{path}/*.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    found = connection.execute(ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    want = [tuple(plain(x) for x in r) for r in found.fetchall()]
+    assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=repr) == sorted(want, key=repr)
