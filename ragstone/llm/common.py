@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of about `most` bytes, or less if the session has it so, for what runs inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) if before else most
+    spark.conf.set(name, str(min(given, most) if given > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def each(column: pa.Array) -> Iterator:
+    """The values of an Arrow column, one at a time: a list of them would hold all texts of a batch once more."""
+    return (x.as_py() for x in column)
+
+
 def longs(values: list[int]) -> Column:
     """A literal array<bigint>; parsed from one string, so that long arrays stay one small expression."""
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")

@@ -36,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, whole
+from .common import each, small_batches, staged as staged_anyhow, whole
 from .words import U, mixed, run_hashes, word_hashes
 
 SHINGLE = 7
+#: Bytes of the rows that go to a worker at once; each is held by the JVM and the worker, there twice while it is read.
+BATCH_BYTES = 4 << 20
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
 
@@ -70,6 +72,11 @@ class NearConfig:
         return int(k * s - 5 * (k * s * (1 - s)) ** 0.5)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    with small_batches(df.sparkSession, BATCH_BYTES):
+        return staged_anyhow(df, name)
+
+
 def shingles(text: str | None, config: NearConfig) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of a text, ascending, and how often each occurs."""
     hashes = word_hashes(text)
@@ -185,7 +192,7 @@ def signed(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, size = [], [], 0
-            for i, t, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t", "text"))):
+            for i, t, text in zip(*(each(batch.column(c)) for c in ("doc_id", "t", "text"))):
                 ids.append((i, t))
                 sets.append(shingles(text, config))
                 size += len(sets[-1][0]) + 1000
@@ -205,9 +212,10 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> Dat
         last, mine = None, np.empty(0, U)
         for batch in batches:
             keep = []
-            for i, (a, one, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")))):
+            a_of, one_of = batch.column("a").to_numpy(), batch.column("text_a")
+            for i, (a, other) in enumerate(zip(a_of, each(batch.column("text_b")))):
                 if last is None or last != a:
-                    last, mine = a, occurrences(one, config)
+                    last, mine = a, occurrences(one_of[i].as_py(), config)
                 yours = occurrences(other, config)
                 if min(len(mine), len(yours)) < config.similarity * max(len(mine), len(yours)):
                     continue
@@ -298,7 +306,7 @@ def shingle_bytes(texts: DataFrame, config: NearConfig) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(occurrences(t, config).astype(np.uint32)) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(occurrences(t, config).astype(np.uint32)) for t in each(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"]
             )

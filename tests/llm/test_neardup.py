@@ -169,3 +169,19 @@ def test_rows_without_an_id_or_with_one_id_stay_by_their_texts(spark):
     assert kept == sorted([(0, text("a")), (0, b[0]), (0, text("e")), (0, text("f")), (1, text("g")), (1, text("h")), (3, text("c")), (4, text("d") + " more")])
     classes = sorted((r.doc_id or 0, r.class_id or 0) for r in N.near_classes(docs).collect())
     assert classes == [(0, 0)] * 8 + [(1, 1)] * 3 + [(2, 1), (3, 3), (4, 4), (5, 3)]
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    long = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 10000) AS text").mapInArrow(sizes, "bytes long")
+    got = [r.bytes for r in N.staged(long, "sizes").collect()]
+    assert sum(got) >= 20_000_000 and max(got) < 2 * N.BATCH_BYTES
+    assert spark.conf.get(name, None) == before
