@@ -15,9 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragstone.llm.common import settled, table
+from ragstone.llm.common import settled, small_batches, table
 from ragstone.llm.mixing import mix_sources
-from ragstone.llm.neardup import keep_one
+from ragstone.llm.neardup import BATCH_BYTES, keep_one
 from ragstone.llm.packing import pack_documents
 from ragstone.llm.quality import filter_quality
 from ragstone.llm.secrets import redact_secrets
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settled(spark, lambda: stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with small_batches(spark, BATCH_BYTES):
+            docs = settled(spark, lambda: stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
